@@ -25,14 +25,14 @@ from .common import LOWER, WORD, fold, mix64, prepare, run_hashes, slices, text_
 
 BITS = 18
 GRAMS = (3, 4, 5, 6)
-DIM = 8
+DIM = 4
 #: Neutral subwords that every text has besides its own, so that a few odd ones don't decide a short text.
 PADDING = 200
 EPOCHS = 100
 #: Buckets whose share of texts differs less between the classes (two-proportion z) are pruned; tried in turn.
 LEAST_Z = (4.0, 6.0, 8.0, 10.0)
 #: Labelled rows of each class that are learned from, at most.
-PER_CLASS = 2000
+PER_CLASS = 1500
 _EDGE = 1  # a byte that no word has
 
 #: Bytes of text that are looked at together.
