@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_scores, packing, quality, secrets, toxicity, urls
+from . import decontaminate, lm_scores, neardup, packing, quality, secrets, sentences, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,14 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(urls.judge(table(spark, sf_dir, "pages")))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.score(table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,8 @@ QUERIES: dict[str, Query] = {
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op7_urls": op7_urls,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_lm_scores": op10_lm_scores,
 }
 
