@@ -17,7 +17,6 @@ No shuffle is needed: every document is searched where it was read.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 
@@ -54,8 +53,8 @@ class WuManber:
                     self.shift[key] = move
             self.buckets.setdefault(window[-self.block :], {}).setdefault(window[: self.block], []).append((window, owners))
 
-    def search(self, text: list[bytes]):
-        """(start, owners) of each occurrence, in order."""
+    def search(self, text: list[bytes], first: bool = False):
+        """(start, owners) of each occurrence, in order; only one of them if ``first``."""
         length, block, default = self.length, self.block, self.default
         shift, buckets, last = self.shift.get, self.buckets, len(text)
         at, found = length, []
@@ -69,6 +68,8 @@ class WuManber:
             for window, owners in buckets[tail].get(tuple(text[start : start + block]), ()):
                 if tuple(text[start:at]) == window:
                     found.append((start, owners))
+                    if first:
+                        return found
             at += 1
         return found
 
@@ -124,6 +125,16 @@ def _searched(docs: DataFrame, block) -> DataFrame:
     return docs.mapInArrow(run, _SCHEMA)
 
 
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int):
+    """The items as broadcasts of (id, bytes) pairs, each of about ``block_bytes``; rows of one id are in one block."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    size = items.agg(F.sum(F.octet_length("t") + 16).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
+        yield blocks, benchmark.sparkSession.sparkContext.broadcast([(r["i"], r["t"].encode()) for r in part.toLocalIterator()])
+
+
 def search(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", item_id="item_id", item_text="text", block_bytes=BLOCK_BYTES) -> DataFrame:
     """Where windows of benchmark items occur in each document.
 
@@ -133,18 +144,11 @@ def search(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text
     no windows; items without id count as an item with an empty id. Rows that repeat stay; rows
     of the benchmark that share an id are one item. An empty benchmark hits nothing.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    size = items.agg(F.sum(F.octet_length("t") + 16).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_bytes))
-    kept = F.col(doc_id)
-    out = docs.select(kept.alias("hit_id"), F.col(text).alias("hit_text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("string").alias("spans"), F.lit(None).cast("string").alias("items"))
-    out = out.withColumn("hit_id", F.col("hit_id").cast("long"))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        held = [(r["i"], r["t"].encode()) for r in part.toLocalIterator()]
-        out = _searched(out, spark.sparkContext.broadcast(held))
+    prepare(docs.sparkSession)
+    none = F.lit(None)
+    out = docs.select(F.col(doc_id).cast("long").alias("hit_id"), F.col(text).alias("hit_text"), none.cast("long").alias("n_words"), none.cast("string").alias("spans"), none.cast("string").alias("items"))
+    for blocks, held in item_blocks(benchmark, item_id, item_text, block_bytes):
+        out = _searched(out, held)
         if blocks > 1:
             out = materialize(out, "decontaminate")
     return out.select(F.col("hit_id").alias("doc_id"), F.col("hit_text").alias("text"), "n_words", F.from_json(F.coalesce("spans", F.lit("[]")), "array<array<long>>").alias("spans"), F.from_json(F.coalesce("items", F.lit("[]")), "array<string>").alias("item_ids"))
@@ -156,11 +160,23 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, **names) -> DataFrame:
-    """The ids of documents to drop: those with more than ``max_share`` of their words inside occurrences."""
-    found = digest(search(docs, benchmark, **names))
-    return found.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(max_share) * F.col("n_words"))).select("doc_id")
+def kept(docs: DataFrame, benchmark: DataFrame, *, text="text", item_id="item_id", item_text="text", block_bytes=BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows in whose text a window of a benchmark item occurs; all columns stay as they are."""
+    prepare(docs.sparkSession)
+    place = docs.columns.index(text)
 
+    def without(held):
+        def run(batches):
+            searchers = build(held.value)
+            for batch in batches:
+                clean = [not any(s.search(w, first=True) for s in searchers) for w in map(words, text_bytes(batch.column(place)))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
-def items_digest(ids) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+        return run
+
+    out = docs
+    for blocks, held in item_blocks(benchmark, item_id, item_text, block_bytes):
+        out = out.mapInArrow(without(held), docs.schema)
+        if blocks > 1:
+            out = materialize(out, "decontaminate")
+    return out

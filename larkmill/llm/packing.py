@@ -256,7 +256,12 @@ def plan(histogram: dict[int, int], groups: int, capacity: int = CAPACITY, large
                 c, room = c - k, room - k
         merged: dict[int, list[list[int]]] = {}
         for g in dealt:
-            merged.setdefault(g[0][0], []).extend(g)
+            queue = merged.setdefault(g[0][0], [])
+            for n, k in g:
+                if queue and queue[-1][0] == n:  # groups of one rounded size continue each other
+                    queue[-1][1] += k
+                else:
+                    queue.append([n, k])
         sizes = list(merged)
         demand = [sum(k for _, k in merged[s]) for s in sizes]
         for copies, times in configurations(sizes, demand, capacity):

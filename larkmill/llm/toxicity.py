@@ -228,5 +228,19 @@ def score(docs: DataFrame, model: Model, *, modulus=5, held_out=0, doc_id="doc_i
     return rows.mapInArrow(run, _SCHEMA)
 
 
+def kept(docs: DataFrame, model: Model, *, text="text", below=0.5) -> DataFrame:
+    """``docs`` without the rows whose text scores ``below`` or more; all columns stay as they are."""
+    spark = docs.sparkSession
+    prepare(spark)
+    held, place = spark.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            value = 1 / (1 + np.exp(-np.clip(held.value.logits(*text_buffer(batch.column(place))), -60, 60)))
+            yield batch.filter(pa.array(value < below))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
