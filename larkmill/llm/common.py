@@ -45,11 +45,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    schema = df.schema
-    if partition_by:
-        reader = spark.read
-        return reader.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
