@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_scores, neardup, packing, quality, secrets, sentences, toxicity, urls
+from . import audio, decontaminate, lm_scores, neardup, packing, quality, secrets, sentences, toxicity, urls
+from .common import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = materialize(audio.fingerprints(audio.rendered(table(spark, sf_dir, "embeddings"))), "audio-prints")
+    return audio.digest(audio.align(prints))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(urls.judge(table(spark, sf_dir, "pages")))
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
+    "op6_chroma_prints": op6_chroma_prints,
     "op7_urls": op7_urls,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_sentence_spans": op9_sentence_spans,
