@@ -56,7 +56,7 @@ class CdfModel:
         if width <= 0:
             return F.lit(0)
         place = (F.col(key).cast("double") - F.lit(self.least)) / F.lit(width)
-        return F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(place * buckets))).cast("int")
+        return _or_zero(key, F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(place * buckets))))
 
     def leaf_column(self, key: str, buckets: int) -> Column:
         """The bucket by both levels, as look-ups in constant arrays of the model's fixed size; stays in the JVM."""
@@ -68,7 +68,12 @@ class CdfModel:
         leaf = F.greatest(F.lit(0), F.least(F.lit(self.leaves - 1), leaf)).cast("int") + 1
         first, last, low, high = (F.element_at(F.lit(a.tolist()), leaf) for a in (self.first, self.last, self.low, self.high))
         part = F.when(last > first, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - first) / (last - first)))).otherwise(0.0)
-        return F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((low + part * (high - low)) * buckets))).cast("int")
+        return _or_zero(key, F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((low + part * (high - low)) * buckets))))
+
+
+def _or_zero(key: str, bucket: Column) -> Column:
+    """The bucket; 0 for a null key (greatest and least would pass over the null)."""
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(bucket).cast("int")
 
 
 def train(sample, leaves: int = LEAVES) -> CdfModel:
@@ -109,3 +114,49 @@ def fit(df: DataFrame, key: str, leaves: int = LEAVES, **options) -> CdfModel:
 def fit_pair(left: DataFrame, right: DataFrame, key: str, leaves: int = LEAVES, **options) -> CdfModel:
     """One model for both sides of a join."""
     return train(np.concatenate([sample_keys(left, key, **options), sample_keys(right, key, **options)]), leaves)
+
+
+@dataclass
+class SplineModel:
+    """A CDF through a few knots, straight in between."""
+
+    keys: np.ndarray
+    levels: np.ndarray
+
+    def cdf(self, keys) -> np.ndarray:
+        return np.interp(np.asarray(keys, np.float64), self.keys, self.levels)
+
+    def bucket(self, keys, buckets: int) -> np.ndarray:
+        return np.clip(np.floor(self.cdf(keys) * buckets), 0, buckets - 1).astype(np.int64)
+
+    def leaf_column(self, key: str, buckets: int) -> Column:
+        """The bucket as a Column: the key's place among the boundaries between buckets, which are fixed by the knots."""
+        if len(self.keys) < 2:
+            return F.lit(0)
+        levels = np.arange(1, buckets) / buckets
+        bounds = np.interp(levels, self.levels, self.keys)
+        above = F.filter(F.lit(bounds.tolist()), lambda b: b <= F.col(key).cast("double"))
+        return _or_zero(key, F.size(above))
+
+
+def train_spline(sample, error: float = 0.002, most: int = 4096) -> SplineModel:
+    """Knots such that no sampled key's level is off by more than ``error``, taken greedily from the left; at most ``most``."""
+    keys, first = np.unique(np.sort(np.asarray(sample, np.float64)), return_index=True)
+    if len(keys) < 2:
+        return SplineModel(keys if len(keys) else np.zeros(1), np.zeros(max(len(keys), 1)))
+    levels = np.append(first[1:], len(sample)) / len(sample)
+    levels = (levels - levels[0]) / (levels[-1] - levels[0])
+    knots, at = [0], 0
+    while at < len(keys) - 1 and len(knots) < most:
+        reach = np.arange(at + 1, len(keys))
+        rise = keys[reach] - keys[at]
+        # slopes that keep every key passed so far within the error
+        top = np.minimum.accumulate((levels[reach] + error - levels[at]) / rise)
+        bottom = np.maximum.accumulate((levels[reach] - error - levels[at]) / rise)
+        slope = (levels[reach] - levels[at]) / rise
+        fine = np.flatnonzero((slope <= top) & (slope >= bottom) & (top >= bottom))
+        at = int(reach[fine[-1]]) if len(fine) else at + 1
+        knots.append(at)
+    if knots[-1] != len(keys) - 1:
+        knots.append(len(keys) - 1)
+    return SplineModel(keys[knots], levels[knots])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larkmill.functions import models
 
-STRATEGIES = ("auto", "broadcast", "shuffle_hash", "merge", "radix", "range", "salted", "learned_hash", "learned_two_level", "learned_partitioned")
+STRATEGIES = ("auto", "broadcast", "shuffle_hash", "merge", "radix", "range", "salted", "learned_hash", "learned_two_level", "learned_spline", "learned_partitioned")
 #: The largest side, as Spark estimates it, that is sent to every executor.
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
@@ -55,6 +55,11 @@ def equi_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
         return salted_join(left, right, on, how, **options)
     if strategy in ("learned_hash", "learned_two_level"):
         return learned_hash_join(left, right, on, how, two_level=strategy == "learned_two_level", **options)
+    if strategy == "learned_spline":
+        key, = on
+        sample = [models.sample_keys(side, key) for side in (left, right)]
+        spline = models.train_spline([k for part in sample for k in part.tolist()])
+        return learned_hash_join(left, right, on, how, two_level=True, model=spline, **options)
     if strategy == "learned_partitioned":
         return learned_partitioned_join(left, right, on, how, **options)
     raise ValueError(f"strategy: {strategy}")
