@@ -95,9 +95,8 @@ class Model:
 
 
 def _bags(texts: list[str], bits: int):
-    """Entries (text, bucket, share of the text's subwords), by text, then bucket."""
+    """Entries (text, bucket, times) by text, then bucket: some texts at a time."""
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    doc, column, share = [], [], []
     for a, b in slices(offsets, SLICE):
         part = offsets[a : b + 1]
         out, at, before = _marked(data[part[0] : part[-1]], part - part[0])
@@ -106,12 +105,7 @@ def _bags(texts: list[str], bits: int):
         for bucket, where in subwords(out, at, bits=bits):
             keys.append(((np.searchsorted(edges, where, side="right") - 1 + a) << bits) + bucket)
         key, count = np.unique(np.concatenate(keys), return_counts=True)
-        doc.append((key >> bits).astype(np.int32))
-        column.append((key & ((1 << bits) - 1)).astype(np.int32))
-        share.append(count.astype(np.float32))
-    doc, column, share = (np.concatenate(x) for x in (doc, column, share))
-    total = np.bincount(doc, share, len(texts))
-    return doc, column, (share / (total[doc] + PADDING)).astype(np.float32)
+        yield (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32), count.astype(np.float32)
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -138,11 +132,21 @@ def train(texts: list[str], label: np.ndarray, *, dim=DIM, bits=BITS, epochs=EPO
     fit = np.arange(len(texts)) % 5 != 0
     if len(set(label[fit].tolist())) < 2:
         fit[:] = True
-    doc, column, share = _bags(texts, bits)
-    one, all_one = np.bincount(column[(label[doc] == 1) & fit[doc]], minlength=1 << bits), (label[fit] == 1).sum()
-    zero, all_zero = np.bincount(column[(label[doc] == 0) & fit[doc]], minlength=1 << bits), (label[fit] == 0).sum()
+    one, zero, total = np.zeros(1 << bits), np.zeros(1 << bits), np.full(len(texts), float(PADDING))
+    for doc, column, times in _bags(texts, bits):
+        total += np.bincount(doc, times, len(texts))
+        one += np.bincount(column[(label[doc] == 1) & fit[doc]], minlength=1 << bits)
+        zero += np.bincount(column[(label[doc] == 0) & fit[doc]], minlength=1 << bits)
+    all_one, all_zero = (label[fit] == 1).sum(), (label[fit] == 0).sum()
     pooled = (one + zero + 0.5) / (fit.sum() + 1)
     z = (one / all_one - zero / all_zero) / np.sqrt(pooled * (1 - pooled).clip(1e-9) * (1 / all_one + 1 / all_zero))
+    # only entries of buckets that some threshold keeps are gathered
+    useful, parts = np.abs(z) >= min(least_z), []
+    for doc, column, times in _bags(texts, bits):
+        keep = useful[column]
+        parts.append((doc[keep], column[keep], (times[keep] / total[doc[keep]]).astype(np.float32)))
+    doc, column, share = (np.concatenate(x) for x in zip(*parts))
+    del parts
     back = ~fit if len(set(label[~fit].tolist())) == 2 else np.ones(len(texts), bool)
     even = np.where(label == 1, 0.5 / (label[back] == 1).sum(), 0.5 / (label[back] == 0).sum())[back]
     best: tuple[float, Model] | None = None
