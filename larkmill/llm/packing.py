@@ -37,7 +37,7 @@ LARGE_SHARE = 1 / 8
 #: Numbers of groups that are tried; the plan with the fewest sequences stays.
 GROUPS = (24, 48, 96)
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: New pieces that are encoded end to end.
 JOINED = 500
 #: Pieces that one task ranks within one length, about.
