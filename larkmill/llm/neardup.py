@@ -38,9 +38,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 COORDINATES = 128
 #: Buckets of up to so many nodes are compared at once; larger ones are split.
-SMALL = 48
+SMALL = 250
 #: Nodes of a block, of buckets that don't split.
-BLOCK = 192
+BLOCK = 250
 DEPTH = 6
 #: A bucket that keeps this share of the one that it was split from doesn't split.
 DENSE = 0.6
@@ -193,7 +193,7 @@ def blocks(rows: DataFrame, small: int, block: int) -> DataFrame:
     Small buckets are one group; of others every pair of blocks is.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
-    split = rows.withColumn("parts", F.when(F.col("size") <= 4 * small, F.lit(1)).otherwise(parts))
+    split = rows.withColumn("parts", F.when(F.col("size") <= 2 * small, F.lit(1)).otherwise(parts))
     split = split.withColumn("own", F.pmod(F.xxhash64("node", "path"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     split = split.withColumn("other", other)

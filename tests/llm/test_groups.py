@@ -45,7 +45,7 @@ def collection(seed=4):
     return texts
 
 
-@pytest.mark.parametrize("small,block,depth", [(48, 192, 6), (8, 16, 3)])
+@pytest.mark.parametrize("small,block,depth", [(250, 250, 6), (8, 16, 3)])
 def test_near_duplicates(docs_of, small, block, depth):
     texts = collection()
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.near_duplicates(docs_of(texts), small=small, block=block, depth=depth).collect()}
