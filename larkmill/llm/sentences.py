@@ -113,8 +113,13 @@ def span_rows(docs: DataFrame, *, doc_id="doc_id", text="text", least=SENTENCES,
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """``doc_id, first, last`` of every span that is not the first with its hash."""
+    """``doc_id, first, last`` of every span that is not the first with its hash.
+
+    The first occurrences are written before they are joined back: a join of two plain
+    shuffles can be split where a hash is frequent, one above an aggregate can't.
+    """
     kept = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first")).alias("kept")).where("n > 1").select("h", "kept")
+    kept = materialize(kept, "first-spans")
     found = rows.join(kept, "h")
     return found.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("first") != F.col("kept.first"))).select("doc_id", "first", "last")
 
