@@ -59,12 +59,18 @@ def runs_for(threshold: float, recall: float) -> int:
 
 
 def roots(threshold: float, runs: int) -> list[tuple[int, int]]:
-    """(run, coordinate) of the root's splits: each run has one at least."""
+    """(run, coordinate) of the root's splits: each run has one at least.
+
+    A coordinate is split once: in another run it would give the same buckets again.
+    """
     rng = np.random.default_rng(SEED + 2)
-    out = []
+    out, free = [], np.ones(COORDINATES, bool)
     for run in range(runs):
-        picked = np.flatnonzero(rng.random(COORDINATES) < 1 / (threshold * COORDINATES))
-        out += [(run, int(c)) for c in (picked if len(picked) else rng.integers(0, COORDINATES, 1))]
+        picked = np.flatnonzero((rng.random(COORDINATES) < 1 / (threshold * COORDINATES)) & free)
+        if not len(picked) and free.any():
+            picked = rng.choice(np.flatnonzero(free), 1)
+        free[picked] = False
+        out += [(run, int(c)) for c in picked]
     return out
 
 
