@@ -4,9 +4,15 @@ Texts are parted into sentences (after ``.``, ``!`` or ``?`` and white space, an
 ends; a sentence of over ``LONGEST`` words counts as several). Every run of several
 consecutive sentences is hashed: from each sentence the shortest run of at least
 ``SENTENCES`` sentences and ``WORDS`` words forwards, and likewise backwards, so that a
-repeated passage is covered up to both its ends. Hashes are joined globally; the first
-occurrence (least document id, then place) stays, and sentences that any other occurrence
-covers are removed.
+repeated passage is covered up to both its ends. Where sentences are long, a passage that
+starts or ends within one may share no such run with its repetitions. There, runs of
+``GRAM`` words are hashed as well, at places that their own words pick: of those that
+include a long stretch without a sentence end, each with the least hash of any
+``PASSAGE - GRAM + 1`` consecutive ones. So every repeated passage of ``PASSAGE`` words has
+a run of sentences or of words in common with its repetitions, wherever it is placed.
+
+Hashes are joined globally; the first occurrence (least document id, then place) stays, and
+the sentences or words that any other occurrence covers are removed.
 
 Equal hashes meet after a map-side reduction, which a frequent passage can't overload; the
 repeated ones are joined back to their spans by a join that Spark may split, and what is to
@@ -26,6 +32,10 @@ from .common import LOWER, WORD, materialize, prepare, run_hashes, slices, text_
 SENTENCES = 3
 WORDS = 20
 LONGEST = 16
+#: Every repeated passage of so many words is found, wherever it starts.
+PASSAGE = 51
+#: Words of the runs that don't depend on sentences.
+GRAM = 26
 SLICE = 1 << 20
 
 _STOP = np.zeros(256, bool)
@@ -34,27 +44,37 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray, longest: int = LONGEST):
-    """(start, end, words, hash) of every sentence, bytes from the buffer's start, and sentences before each text.
-
-    A sentence ends where the next begins, so they cover a text. The hash is of the words, A-Z lowered.
-    """
+def _parted(data: np.ndarray, offsets: np.ndarray):
+    """(A-Z lowered bytes, start and end of every word, words before each text, each word's text, whether it begins a sentence)."""
     n = len(data)
     low = LOWER[data]
     starts, ends, before = word_runs(low, WORD, offsets)
-    if not len(starts):
-        zero = np.zeros(0, np.int64)
-        return zero, zero, zero, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     brk = np.zeros(n + 1, np.int64)
     brk[1:n] = (_STOP[data[:-1]] & _SPACE[data[1:]]) | (data[:-1] == 10)
     crossed = np.cumsum(brk[:n])
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (crossed[starts[1:]] != crossed[starts[:-1]]) | (owner[1:] != owner[:-1])
+    return low, starts, ends, before, owner, fresh
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray, longest: int = LONGEST):
+    """(start, end, words, hash) of every sentence, bytes from the buffer's start, and sentences before each text.
+
+    A sentence ends where the next begins, so they cover a text. The hash is of the words, A-Z lowered.
+    """
+    return _sentences(_parted(data, offsets), offsets, longest)[:5]
+
+
+def _sentences(parted, offsets: np.ndarray, longest: int):
+    """As :func:`sentences`, and the hash of every word."""
+    low, starts, ends, _, owner, fresh = parted
+    if not len(starts):
+        zero = np.zeros(0, np.int64)
+        return zero, zero, zero, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
     first = np.flatnonzero(fresh)
     inside = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
-    fresh |= inside % longest == 0
-    first = np.flatnonzero(fresh)
+    first = np.flatnonzero(fresh | (inside % longest == 0))
     last = np.append(first[1:], len(starts))
     words = run_hashes(low, starts, ends)
     value = _chained(words, first, last)
@@ -63,10 +83,10 @@ def sentences(data: np.ndarray, offsets: np.ndarray, longest: int = LONGEST):
     at = np.searchsorted(text, np.arange(len(offsets)))
     heads = at[:-1][np.diff(at) > 0]
     a[heads] = offsets[text[heads]]  # what comes before the first word belongs to it
-    b = np.append(a[1:], n)
+    b = np.append(a[1:], len(low))
     tails = at[1:][np.diff(at) > 0] - 1
     b[tails] = offsets[text[tails] + 1]
-    return a, b, last - first, value, at
+    return a, b, last - first, value, at, words
 
 
 def _chained(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -90,12 +110,54 @@ def spans(words: np.ndarray, value: np.ndarray, at: np.ndarray, least: int = SEN
     return text[a], a - at[text[a]], b - at[text[a]], _chained(value, a, b)
 
 
+def _sliding(value: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every ``width`` consecutive values."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        value = pick(value[:-step], value[step:])
+        done += step
+    return value
+
+
+def passages(words: np.ndarray, fresh: np.ndarray, owner: np.ndarray, before: np.ndarray, stretch: int, gram: int = GRAM, passage: int = PASSAGE):
+    """(text, first word, hash) of the runs of ``gram`` words to compare; words are numbered within their text.
+
+    Only a run with ``stretch`` words in a row of one sentence counts. Of ``passage`` words that
+    have such a run, the run with the least hash is taken: a choice that depends on them alone.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n, width = len(words) - gram + 1, passage - gram + 1
+    if len(words) < passage:
+        return none
+    begun = np.cumsum(fresh)
+    plain = np.concatenate([[0], np.cumsum(begun[stretch - 1 :] == begun[: len(begun) - stretch + 1])])
+    long = plain[gram - stretch + 1 :] > plain[: len(plain) - (gram - stretch + 1)]
+    if not long.any():
+        return none
+    at = np.arange(n)
+    h = _chained(words, at, at + gram)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    rank = np.where(long & (owner[:n] == owner[gram - 1 :]), h, top)
+    least = _sliding(rank, width, np.minimum)
+    least[owner[: len(least)] != owner[passage - 1 :]] = 0  # not within one text
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == rank) & (rank != top))
+    return owner[at], at - before[owner[at]], h[at]
+
+
 _SPANS = "doc_id long, first int, last int, h long"
 
 
 def span_rows(docs: DataFrame, *, doc_id="doc_id", text="text", least=SENTENCES, least_words=WORDS, longest=LONGEST) -> DataFrame:
-    """Every run of sentences to compare, with its hash; documents without id or words have none."""
+    """Every run to compare, with its hash; documents without id or words have none.
+
+    The hash is even for runs of sentences and odd for runs of words; ``first`` and ``last``
+    count what the run is of.
+    """
     prepare(docs.sparkSession)
+    # a passage without so many words of one sentence in a row has a run of whole sentences in it
+    stretch = max(1, min((PASSAGE - 1) // (least + 1), (PASSAGE - least_words) // 2, longest, GRAM - 1) + 1)
 
     def run(batches):
         for batch in batches:
@@ -103,9 +165,13 @@ def span_rows(docs: DataFrame, *, doc_id="doc_id", text="text", least=SENTENCES,
             data, offsets = text_buffer(batch.column(1))
             for a, b in slices(offsets, SLICE):
                 cut = offsets[a : b + 1]
-                _, _, words, value, at = sentences(data[cut[0] : cut[-1]], cut - cut[0], longest)
+                parted = _parted(data[cut[0] : cut[-1]], cut - cut[0])
+                _, _, sizes, value, at, words = _sentences(parted, cut - cut[0], longest)
                 if len(words):
-                    owner, first, last, h = spans(words, value, at, least, least_words)
+                    owner, first, last, h = spans(sizes, value, at, least, least_words)
+                    text, word, g = passages(words, parted[5], parted[4], parted[3], stretch)
+                    owner, first, last = np.concatenate([owner, text]), np.concatenate([first, word]), np.concatenate([last, word + GRAM])
+                    h = np.concatenate([h & ~np.uint64(1), g | np.uint64(1)])
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][owner]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "first", "last", "h"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("span_id"), F.col(text).alias("span_text")).where("span_id is not null")
@@ -113,7 +179,9 @@ def span_rows(docs: DataFrame, *, doc_id="doc_id", text="text", least=SENTENCES,
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """``doc_id, first, last`` of every span that is not the first with its hash.
+    """``doc_id, of_words, first, last`` of every span that is not the first with its hash.
+
+    Of words that overlap the first occurrence, only those beyond it go.
 
     The first occurrences are written before they are joined back: a join of two plain
     shuffles can be split where a hash is frequent, one above an aggregate can't.
@@ -121,19 +189,22 @@ def repeated(rows: DataFrame) -> DataFrame:
     kept = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first")).alias("kept")).where("n > 1").select("h", "kept")
     kept = materialize(kept, "first-spans")
     found = rows.join(kept, "h")
-    return found.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("first") != F.col("kept.first"))).select("doc_id", "first", "last")
+    found = found.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("first") != F.col("kept.first"))).withColumn("of_words", F.col("h").bitwiseAND(1) == 1)
+    beyond = F.when(F.col("of_words") & (F.col("doc_id") == F.col("kept.doc_id")), F.greatest("first", F.col("kept.first") + GRAM)).otherwise(F.col("first"))
+    return found.select("doc_id", "of_words", beyond.alias("first"), "last")
 
 
 def removed_ranges(again: DataFrame) -> DataFrame:
-    """``cut_id, cuts``: for each document the sentence ranges that go, merged before they are gathered."""
-    # the farthest end for each start: a document has at most two spans with one start
-    far = again.groupBy("doc_id", "first").agg(F.max("last").alias("last"))
-    return far.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts")).withColumnRenamed("doc_id", "cut_id")
+    """``cut_id, cuts``: for each document the ranges of sentences and of words that go, merged before they are gathered."""
+    # the farthest end for each start: a document has at most two spans of sentences with one start
+    far = again.groupBy("doc_id", "of_words", "first").agg(F.max("last").alias("last"))
+    return far.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "of_words"))).alias("cuts")).withColumnRenamed("doc_id", "cut_id")
 
 
 def dedup(docs: DataFrame, *, doc_id="doc_id", text="text", least=SENTENCES, least_words=WORDS, longest=LONGEST) -> DataFrame:
-    """``doc_id, text, n_sentences, n_removed``: every document without its repeated sentences.
+    """``doc_id, text, n_sentences, n_removed``: every document without its repeated passages.
 
+    ``n_removed`` counts the sentences that are gone or have lost words.
     A repetition within one document counts too. Rows with the same id and text are the same
     document and are cut alike; the first of different texts that share an id is the one whose
     span comes first. Null texts stay null, empty ones empty; documents without id are not
@@ -145,30 +216,37 @@ def dedup(docs: DataFrame, *, doc_id="doc_id", text="text", least=SENTENCES, lea
     rows = materialize(span_rows(docs, doc_id=doc_id, text=text, least=least, least_words=least_words, longest=longest), "spans")
     cuts = removed_ranges(repeated(rows))
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    joined = whole.join(cuts, whole["doc_id"] == cuts["cut_id"], "left").select("doc_id", "text", F.col("cuts.first").alias("first"), F.col("cuts.last").alias("last"))
+    joined = whole.join(cuts, whole["doc_id"] == cuts["cut_id"], "left").select("doc_id", "text", F.col("cuts.first").alias("first"), F.col("cuts.last").alias("last"), F.col("cuts.of_words").alias("of_words"))
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             data, offsets = text_buffer(batch.column("text"))
-            firsts, lasts = batch.column("first").to_pylist(), batch.column("last").to_pylist()
+            firsts, lasts, kinds = (batch.column(c).to_pylist() for c in ("first", "last", "of_words"))
             count, gone = [], []
             for lo, hi in slices(offsets, SLICE):
                 cut = offsets[lo : hi + 1] - offsets[lo]
                 part = data[offsets[lo] : offsets[hi]]
-                a, b, _, _, at = sentences(part, cut, longest)
+                parted = _parted(part, cut)
+                a, _, _, _, at, _ = _sentences(parted, cut, longest)
+                starts, before = parted[1], parted[3]
                 for k in range(lo, hi):
                     i, j = at[k - lo], at[k - lo + 1]
                     count.append(int(j - i))
-                    if not firsts[k]:
+                    if not firsts[k] or i == j:
                         gone.append(0)
                         continue
-                    out = np.zeros(j - i + 1, np.int64)
-                    np.add.at(out, np.minimum(firsts[k], j - i), 1)
-                    np.add.at(out, np.minimum(lasts[k], j - i), -1)
+                    x, y = cut[k - lo], cut[k - lo + 1]
+                    units = np.append(a[i:j], y) - x
+                    words = np.append(starts[before[k - lo] : before[k - lo + 1]], y) - x
+                    out = np.zeros(y - x + 1, np.int64)
+                    first, last, kind = np.array(firsts[k]), np.array(lasts[k]), np.array(kinds[k])
+                    for edge, own in ((units, ~kind), (words, kind)):
+                        np.add.at(out, edge[np.minimum(first[own], len(edge) - 1)], 1)
+                        np.add.at(out, edge[np.minimum(last[own], len(edge) - 1)], -1)
                     out = np.cumsum(out[:-1]) > 0
-                    gone.append(int(out.sum()))
-                    texts[k] = b"".join(part[x:y].tobytes() for x, y in zip(a[i:j][~out], b[i:j][~out])).decode("utf-8", "replace")
+                    gone.append(int(np.logical_or.reduceat(out, units[:-1]).sum()))
+                    texts[k] = part[x:y][~out].tobytes().decode("utf-8", "replace")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
 
     return joined.mapInArrow(run, "doc_id long, text string, n_sentences long, n_removed long")

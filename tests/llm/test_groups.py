@@ -107,6 +107,37 @@ def test_passages_leave_no_second_copy(docs_of):
         assert [i for i, t in enumerate(out) if s in t] == [k]
 
 
+def running(rng, n, least, most):
+    """``n`` words in sentences of ``least`` to ``most`` words."""
+    out = []
+    while len(out) < n:
+        size = rng.randint(least, most)
+        out += [rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(size)]
+        out[-1] += "."
+    return out[:n]
+
+
+@pytest.mark.parametrize("least,most", [(3, 12), (8, 16), (13, 30), (60, 90), (10**4, 10**4)])
+def test_passages_of_51_words_at_any_place(docs_of, least, most):
+    rng = random.Random(least)
+    texts = []
+    for k in range(20):
+        passage = running(rng, 400, least, most)[(p := rng.randrange(300)) : p + 51]
+        for _ in range(3):
+            lead, rest = running(rng, rng.randint(1, 70), least, most), running(rng, rng.randint(1, 70), least, most)
+            texts.append(" ".join(lead + passage + rest))
+    rows = sentences.dedup(docs_of(texts)).orderBy("doc_id").collect()
+    assert [r["n_removed"] > 0 for r in rows] == [i % 3 > 0 for i in range(len(texts))]
+    windows = Counter(tuple(w[i : i + 51]) for r in rows for w in [brute.words(r["text"])] for i in range(len(w) - 50))
+    assert max(windows.values()) == 1
+    assert all(r["text"] == t for i, (r, t) in enumerate(zip(rows, texts)) if i % 3 == 0)
+
+
+def test_a_word_over_and_over(docs_of):
+    rows = sentences.dedup(docs_of(["so " * 500, "x " + "so " * 100])).orderBy("doc_id").collect()
+    assert [r["text"].split() for r in rows] == [["so"] * 16, ["x"]]
+
+
 def placed(docs, **options):
     return [r.asDict() for r in packing.pack(docs, **options).collect()]
 
