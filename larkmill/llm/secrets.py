@@ -9,7 +9,11 @@ appears:
   place, every decoded character keeping the range of source characters it came from;
 * base64 tokens (both alphabets) are decoded; bytes that start as gzip, zlib or bzip2
   streams are decompressed, repeatedly if need be; bytes that are printable UTF-8
-  become a new layer, whose characters all stand for the whole token.
+  become a new layer, whose characters all stand for the whole token;
+* base64 may also be wrapped over lines, or stand within a longer run of its characters (a
+  path, a name): such runs are decoded at all four phases, the printable stretches of what
+  results become layers, and so does every compressed stream that begins in it. Their
+  characters stand for the source of their own bytes, or of the stream.
 
 Each layer is rescanned, and findings are mapped to code points of the original text.
 A layer whose content and place were seen before is not visited again, which ends cycles.
@@ -18,11 +22,11 @@ A layer whose content and place were seen before is not visited again, which end
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +51,13 @@ _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A line break in wrapped base64, as it is or escaped.
+_WRAP = r"(?:\r?\n[\t\x20]*|(?:\\r)?\\n)"
+_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_WRAP}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_BREAK = re.compile(_WRAP)
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
+#: Nothing shorter holds a finding, plain or encoded.
+_PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 
 #: A compressed layer is unwrapped up to this many bytes; what lies beyond is not scanned.
 MAX_UNPACKED = 64 << 20
@@ -91,21 +102,65 @@ def _readable(raw: bytes) -> str | None:
 _CONTROL = bytes(c for c in (*range(32), 127) if c not in (9, 10, 13))
 
 
-def _from_base64(token: str) -> str | None:
-    body = token.rstrip("=")
+def _decoded(body: str) -> bytes:
+    """The bytes of base64 without padding; a last character that is only part of a byte is left out."""
     if len(body) % 4 == 1:
-        return None
+        body = body[:-1]
     if "-" in body or "_" in body:
         body = body.replace("-", "+").replace("_", "/")
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _unwrapped(raw: bytes) -> bytes:
+    """``raw``, or what it holds compressed, however often."""
     while (inner := _inflate(raw)) is not None:
         if inner == raw:
             break
         raw = inner
-    return _readable(raw)
+    return raw
+
+
+def _from_base64(token: str) -> str | None:
+    body = token.rstrip("=")
+    if len(body) % 4 == 1:
+        return None
+    return _readable(_unwrapped(_decoded(body)))
+
+
+def _islands(raw: bytes):
+    """(text, start, end) of the printable stretches; bytes between them are in no finding."""
+    for m in _PRINTABLE.finditer(raw):
+        yield m[0].decode("ascii"), m.start(), m.end()
+
+
+def _inside_base64(m: re.Match):
+    """Layers anywhere in a run: (text, starts, ends), the places in the searched text of every character."""
+    run = m[0].rstrip("=")
+    lines, lead, skipped = [0], [m.start()], 0  # where lines begin in the body, and what lies between a place there and in the text
+    for cut in _BREAK.finditer(run):
+        lines.append(cut.start() - skipped)
+        skipped += cut.end() - cut.start()
+        lead.append(m.start() + skipped)
+    body = _BREAK.sub("", run)
+
+    def place(k: int) -> int:
+        return k + lead[bisect_right(lines, k) - 1]
+
+    for phase in range(4):
+        raw = _decoded(body[phase:])
+
+        def source(a: int, b: int):
+            return place(phase + a // 3 * 4), place(min(len(body), phase + (b - 1) // 3 * 4 + 4) - 1) + 1
+
+        for text, a, b in _islands(raw):
+            pairs = [source(k, k + 1) for k in range(a, b)]
+            yield text, [x for x, _ in pairs], [y for _, y in pairs]
+        for found in _MAGIC.finditer(raw):
+            inner = _inflate(memoryview(raw)[found.start() :])
+            if inner:
+                x, y = source(found.start(), len(raw))
+                for text, _, _ in _islands(_unwrapped(inner)):
+                    yield text, [x] * len(text), [y] * len(text)
 
 
 def _substituted(text: str, spans, pattern: re.Pattern, decode):
@@ -184,12 +239,18 @@ def _children(text: str, spans):
                 found = _substituted(text[a:b], part, pattern, decode)
                 if found:
                     yield found
-    for m in _BASE64.finditer(text):
-        inner = _from_base64(m[0])
-        if inner is not None:
-            a, b = m.span()
-            source = (a, b) if spans is None else (min(spans[0][a:b]), max(spans[1][a:b]))
-            yield inner, ([source[0]] * len(inner), [source[1]] * len(inner))
+    for run in _WRAPPED.finditer(text):
+        whole = False
+        for m in _BASE64.finditer(text, *run.span()):
+            inner = _from_base64(m[0])
+            if inner is not None:
+                a, b = m.span()
+                whole = (a, b) == run.span()
+                source = (a, b) if spans is None else (min(spans[0][a:b]), max(spans[1][a:b]))
+                yield inner, ([source[0]] * len(inner), [source[1]] * len(inner))
+        if not whole:
+            for inner, starts, ends in _inside_base64(run):
+                yield inner, (starts, ends) if spans is None else ([spans[0][k] for k in starts], [spans[1][k - 1] for k in ends])
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

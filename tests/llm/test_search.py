@@ -1,6 +1,7 @@
 """Decontamination and secret scans against brute force."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import zlib
@@ -129,6 +130,30 @@ def test_layers_are_unwrapped(layers):
     assert "[SECRET]" in secrets.redacted(text, every) and SECRET not in secrets.redacted(text, every)
 
 
+FILLER = "".join(hashlib.sha256(str(k).encode()).hexdigest()[:20].upper() + " " for k in range(30))
+PACKED = [f.compress(f"{FILLER} {SECRET} {FILLER}".encode()) for f in (gzip, zlib, bz2)]
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [base64.encodebytes(p).decode().strip() for p in PACKED]
+    + [base64.encodebytes(p).decode().strip().replace("\n", end) for p in PACKED for end in ("\r\n", "\n    ", "\\n")]
+    + [base64.encodebytes(b"x" * k + SECRET.encode() + b" and so on " * 9).decode().strip() for k in range(38, 58)]
+    + [lead + base64.b64encode(p).decode() for lead in ("h.org/p/", "x_", "a-", "ab/", "abcd/x/") for p in (*PACKED, f"x {SECRET} y".encode())]
+    + [base64.b64encode(f"x {SECRET} yz".encode()).decode() + "_tail" * k for k in (1, 2, 3, 4)]
+    + [base64.b64encode(b"\xff\x00" + SECRET.encode() + b"\xe9\x01").decode()]
+    + [base64.b64encode(gzip.compress(b"\xff\x00 " + SECRET.encode() + b" \xe9\x01")).decode()]
+    + [base64.encodebytes(base64.encodebytes(PACKED[0])).decode().strip()],
+)
+def test_base64_wrapped_or_glued_or_not_quite_text(hidden):
+    text = f"éé before {hidden} after"
+    _, every = secrets.spans_of(text)
+    a, b = text.index(hidden), text.index(hidden) + len(hidden)
+    assert any(k == 0 and a <= s and e <= b for s, k, e in every)
+    left = secrets.redacted(text, every)
+    assert left.startswith("éé before ") and left.endswith(" after") and not secrets.spans_of(left)[1]
+
+
 def test_escapes_map_to_their_own_characters():
     text = "a %70assword%3Dabcdefgh b"
     (found,) = secrets.spans_of(text)[1]
