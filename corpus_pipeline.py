@@ -22,10 +22,16 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays, and all without an id."""
-    classes = neardup.near_duplicates(docs)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Of each class of near duplicates one row stays: the first of those with the least id, or one without an id if none has one.
+
+    Rows are told apart by a key of their own, so repeated rows, rows without an id and different
+    texts that share an id are compared like all others. Texts without words are no duplicates.
+    """
+    keyed = materialize(docs.withColumn("near_row", F.monotonically_increasing_id()), "near-keyed")
+    classes = neardup.near_duplicates(keyed, doc_id="near_row").select(F.col("doc_id").alias("near_row"), "class_id")
+    ranked = classes.join(keyed.select("near_row", "doc_id"), "near_row")
+    least = ranked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "near_row")).alias("kept"))
+    return keyed.join(least.select(F.col("kept.near_row").alias("near_row")), "near_row", "left_semi").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

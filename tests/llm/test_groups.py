@@ -240,3 +240,11 @@ def test_pipeline_stages_on_odd_rows(spark, docs_of, tmp_path):
             if name != "packing":
                 assert out.columns == docs.columns
     assert corpus_pipeline.keep_one_of_each(spark, docs, "").where(F.col("doc_id") == 4).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_class(spark, docs_of):
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 120) for _ in range(5))
+    rows = [(5, a), (5, a), (5, a), (None, a), (None, b), (None, b), (7, c), (7, d), (3, c), (9, e), (None, ""), (2, None)]
+    kept = corpus_pipeline.keep_one_of_each(spark, docs_of([t for _, t in rows], [i for i, _ in rows]), "")
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, a), (None, b), (7, d), (3, c), (9, e), (None, ""), (2, None)])
