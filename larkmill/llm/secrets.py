@@ -27,6 +27,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,11 +57,13 @@ _WRAP = r"(?:\r?\n[\t\x20]*|(?:\\r)?\\n)"
 _WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_WRAP}[A-Za-z0-9+/_-]+)*={{0,2}}")
 _BREAK = re.compile(_WRAP)
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
+#: Bytes that end every finding and every encoded run.
+_GAP = re.compile(rb"[^A-Za-z0-9_\"':=+/.%\\{}\t\r\n\x20-]|[.g-mo-su-xzG-MO-SU-XZ]\x20|\n\r?\n")
 #: Nothing shorter holds a finding, plain or encoded.
 _PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 
-#: A compressed layer is unwrapped up to this many bytes; what lies beyond is not scanned.
-MAX_UNPACKED = 64 << 20
+#: A compressed layer of up to so many bytes is one layer; a longer one is several, each cut where no finding and no encoding goes on.
+CHUNK = 1 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -75,18 +78,92 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """The content of a gzip, zlib or bzip2 stream; None if it is none."""
+def _member(raw):
+    """A decompressor for the gzip, zlib or bzip2 stream that ``raw`` begins with; None if it is none."""
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return None
+
+
+def _opens(head: bytes) -> bool:
+    """Whether a stream begins here; text may begin like one, but doesn't go on to a valid end."""
+    stream = _member(head)
+    if stream is None:
+        return False
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_UNPACKED)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj(15).decompress(raw, MAX_UNPACKED)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_UNPACKED)
+        out = stream.decompress(head, 1 << 16)
     except (zlib.error, OSError, EOFError, ValueError):
-        return None
-    return None
+        return False
+    return stream.eof or len(out) >= 1 << 16 or head.translate(None, _CONTROL) != head or not head.isascii()
+
+
+def _inflated(pieces):
+    """The content of the streams that the bytes of ``pieces`` are, member after member, in bounded pieces; what a bad end leaves is given, too."""
+    raw, pieces = b"", iter(pieces)
+    while True:
+        while len(raw) < 4 and (more := next(pieces, None)) is not None:
+            raw += more
+        stream = _member(raw)
+        if stream is None:
+            return
+        try:
+            while not stream.eof:
+                if isinstance(stream, bz2.BZ2Decompressor):
+                    if stream.needs_input and not raw and (raw := next(pieces, None)) is None:
+                        return
+                    out, raw = stream.decompress(raw, CHUNK), b""
+                else:
+                    if not raw and (raw := next(pieces, None)) is None:
+                        if out := stream.flush():
+                            yield out
+                        return
+                    out, raw = stream.decompress(raw, CHUNK), stream.unconsumed_tail
+                if out:
+                    yield out
+            raw = stream.unused_data
+        except (zlib.error, OSError, EOFError, ValueError):
+            return
+
+
+def _contents(raw):
+    """Pieces of what the streams hold that ``raw`` begins with, unwrapped however often; nothing if it begins with none."""
+    seen = set()
+    pieces = _inflated(bytes(raw[k : k + 65536]) for k in range(0, len(raw), 65536))
+    while True:
+        head, size, ended = [], 0, False
+        while size < CHUNK and not ended:
+            piece = next(pieces, b"")
+            head.append(piece)
+            size += len(piece)
+            ended = not piece
+        head = b"".join(head)
+        pieces = [head] if ended else chain([head], pieces)
+        if not _opens(head) or head[:4096] in seen:  # a stream may give itself
+            return pieces
+        seen.add(head[:4096])
+        pieces = _inflated(pieces)
+
+
+def _chunks(pieces):
+    """``pieces`` joined to chunks that end where a byte is in no finding and no encoded run."""
+    held = b""
+    for piece in pieces:
+        old = len(held)
+        held += piece
+        if len(held) >= CHUNK:
+            for reach in (1 << 12, 1 << 16, len(piece) + 3):
+                at = max(0, old - 3, len(held) - reach)
+                cut = max((m.end() for m in _GAP.finditer(held, at)), default=0)
+                if cut:
+                    yield held[:cut]
+                    held = held[cut:]
+                    break
+    if held:
+        yield held
 
 
 def _readable(raw: bytes) -> str | None:
@@ -111,20 +188,11 @@ def _decoded(body: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _unwrapped(raw: bytes) -> bytes:
-    """``raw``, or what it holds compressed, however often."""
-    while (inner := _inflate(raw)) is not None:
-        if inner == raw:
-            break
-        raw = inner
-    return raw
-
-
 def _from_base64(token: str) -> str | None:
     body = token.rstrip("=")
     if len(body) % 4 == 1:
         return None
-    return _readable(_unwrapped(_decoded(body)))
+    return _readable(_decoded(body))
 
 
 def _islands(raw: bytes):
@@ -133,11 +201,19 @@ def _islands(raw: bytes):
         yield m[0].decode("ascii"), m.start(), m.end()
 
 
+def _compressed(token: str):
+    """The printable stretches of what a token holds compressed."""
+    for chunk in _chunks(_contents(_decoded(token.rstrip("=")))):
+        for text, _, _ in _islands(chunk):
+            yield text
+
+
 def _inside_base64(m: re.Match):
     """Layers anywhere in a run: (text, starts, ends), the places in the searched text of every character."""
     run = m[0].rstrip("=")
     lines, lead, skipped = [0], [m.start()], 0  # where lines begin in the body, and what lies between a place there and in the text
-    for cut in _BREAK.finditer(run):
+    cuts = list(_BREAK.finditer(run))
+    for cut in cuts:
         lines.append(cut.start() - skipped)
         skipped += cut.end() - cut.start()
         lead.append(m.start() + skipped)
@@ -156,10 +232,11 @@ def _inside_base64(m: re.Match):
             pairs = [source(k, k + 1) for k in range(a, b)]
             yield text, [x for x, _ in pairs], [y for _, y in pairs]
         for found in _MAGIC.finditer(raw):
-            inner = _inflate(memoryview(raw)[found.start() :])
-            if inner:
-                x, y = source(found.start(), len(raw))
-                for text, _, _ in _islands(_unwrapped(inner)):
+            if found.start() == phase == 0 and not cuts:
+                continue  # see _compressed
+            x, y = source(found.start(), len(raw))
+            for chunk in _chunks(_contents(memoryview(raw)[found.start() :])):
+                for text, _, _ in _islands(chunk):
                     yield text, [x] * len(text), [y] * len(text)
 
 
@@ -242,11 +319,11 @@ def _children(text: str, spans):
     for run in _WRAPPED.finditer(text):
         whole = False
         for m in _BASE64.finditer(text, *run.span()):
+            a, b = m.span()
+            source = (a, b) if spans is None else (min(spans[0][a:b]), max(spans[1][a:b]))
             inner = _from_base64(m[0])
-            if inner is not None:
-                a, b = m.span()
-                whole = (a, b) == run.span()
-                source = (a, b) if spans is None else (min(spans[0][a:b]), max(spans[1][a:b]))
+            whole = inner is not None and (a, b) == run.span()
+            for inner in _compressed(m[0]) if inner is None else [inner]:
                 yield inner, ([source[0]] * len(inner), [source[1]] * len(inner))
         if not whole:
             for inner, starts, ends in _inside_base64(run):

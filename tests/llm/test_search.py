@@ -154,6 +154,24 @@ def test_base64_wrapped_or_glued_or_not_quite_text(hidden):
     assert left.startswith("éé before ") and left.endswith(" after") and not secrets.spans_of(left)[1]
 
 
+NESTED = base64.b64encode(b"x " * 700_000 + SECRET.encode() + b" y").decode()
+
+
+@pytest.mark.parametrize("compress", [gzip.compress, zlib.compress, bz2.compress])
+@pytest.mark.parametrize("content", [("é " * (23 << 20)).encode() + SECRET.encode(), b"x" * ((1 << 20) - 5) + SECRET.encode() + b" z" * (1 << 20), f"a {NESTED} b".encode()])
+def test_compressed_layers_are_read_to_their_end(compress, content):
+    assert any(k == 0 for _, k, _ in secrets.spans_of(base64.b64encode(compress(content)).decode())[1])
+
+
+def test_members_and_many_layers_of_compression():
+    two = gzip.compress(b"first ") + bz2.compress(b"second ") + zlib.compress(b"third " * 5 + SECRET.encode())
+    assert [k for _, k, _ in secrets.spans_of(base64.b64encode(two).decode())[1]][:1] == [0]
+    many = SECRET.encode()
+    for _ in range(1500):
+        many = gzip.compress(many, 1)
+    assert secrets.spans_of(base64.b64encode(many).decode())[1]
+
+
 def test_escapes_map_to_their_own_characters():
     text = "a %70assword%3Dabcdefgh b"
     (found,) = secrets.spans_of(text)[1]
