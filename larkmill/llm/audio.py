@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, parts, prepare
 
 RATE = 5512
 FRAME, HOP = 1024, 344
@@ -47,10 +47,14 @@ def decode(blob: bytes | None) -> tuple[np.ndarray, int]:
             raw = source.readframes(n)
     except (wave.Error, EOFError, ValueError):
         return np.zeros(0), RATE
-    kind = {1: np.uint8, 2: "<i2", 4: "<i4"}.get(width)
+    kind = {1: np.uint8, 2: "<i2", 3: "<i4", 4: "<i4"}.get(width)
     if kind is None or not channels or not rate:
         return np.zeros(0), RATE
     raw = raw[: len(raw) - len(raw) % (width * channels)]
+    if width == 3:  # the three bytes are the upper ones of four
+        four = np.zeros((len(raw) // 3, 4), np.uint8)
+        four[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        raw, width = four.tobytes(), 4
     samples = np.frombuffer(raw, kind).astype(np.float64)
     samples = (samples - 128) / 128 if width == 1 else samples / float(1 << (8 * width - 1))
     return samples.reshape(-1, channels).mean(axis=1), rate
@@ -191,10 +195,10 @@ _PRINTS = "audio_id long, prints binary, sound binary"
 
 def fingerprints(recordings: DataFrame, *, recording_id="recording_id", audio="audio") -> DataFrame:
     """``audio_id, prints, sound``: packed 32-bit integers (little-endian) and a byte for each that tells sound."""
-    prepare(recordings.sparkSession, 256)
+    prepare(recordings.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1):
             rows = [fingerprint(b) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.astype("<u4").tobytes() for p, _ in rows], pa.binary()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["audio_id", "prints", "sound"])
 
@@ -267,10 +271,10 @@ def rendered(vectors: DataFrame, *, vector_id="vec_id", vector="embedding", lowe
 
     The tables at hand hold no recordings; these stand in for them, one for each row.
     """
-    prepare(vectors.sparkSession, 256)
+    prepare(vectors.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([melody(v, lowest, highest) for v in batch.column(1).to_pylist()], pa.binary())], ["recording_id", "audio"])
 
     return vectors.select(F.col(vector_id).cast("long").alias("recording_id"), _doubles(F.col(vector)).alias("vector")).mapInArrow(run, "recording_id long, audio binary")

@@ -7,32 +7,39 @@ Rules every operator here keeps:
 * A null text counts as empty; an empty table gives an empty result.
 * Driver-side state is bounded by a parameter, never by the number of documents.
 * Intermediate tables go to the shared folder named by ``spark.checkpoint.dir``.
+* Settings of the caller's session stay as they are; batches are cut to size within an operator.
 """
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkmill.session import ship
 
-#: Rows a Python worker gets at once: whole texts, so fewer than Spark's default.
-BATCH_ROWS = 2000
+#: Bytes of text that an operator looks at together.
+PART_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is set (tests)."""
+    """The folder that driver and executors share. Only a local session may have none set: it gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not path and held.isDefined():
+        path = held.get()
     if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="larkmill-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="larkmill-")
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -41,27 +48,59 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    spark.sparkContext.__dict__.setdefault("_larkmill_tables", []).append(path)
+    _tables(spark).append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._larkmill_path = path
+    return back
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    return spark.sparkContext.__dict__.setdefault("_larkmill_tables", [])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete intermediate tables of :func:`materialize` that nothing lazy is going to read any more."""
+    for df in tables:
+        if path := getattr(df, "_larkmill_path", None):
+            _tables(df.sparkSession).remove(path)
+            _delete(df.sparkSession, path)
 
 
 def discard(spark: SparkSession) -> None:
     """Delete the intermediate tables written so far; results that were not stored can't be read afterwards."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in spark.sparkContext.__dict__.pop("_larkmill_tables", []):
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+    while held := _tables(spark):
+        _delete(spark, held.pop())
+
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing can read any more; else they stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Whole texts go to Python in batches of few rows, so that long ones don't fill a worker."""
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator needs before its Python code runs on executors."""
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def parts(batches, column: int | str, limit: int = PART_BYTES):
+    """Consecutive pieces of batches, each with about ``limit`` bytes in a string or binary column, one row at least."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = pc.binary_length(batch.column(column)).fill_null(0)
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+            for a, b in slices(offsets, limit):
+                yield batch.slice(a, b - a)
 
 
 def fold(doc_id: str = "doc_id", modulus: int = 5):
@@ -134,6 +173,42 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+#: A prime below 2**31: products of two residues fit 64 bits.
+_PRIME = np.uint64((1 << 31) - 1)
+_ROOT = 1_402_024_253
+
+
+def _prime_powers(n: int, base: int) -> np.ndarray:
+    out = np.ones(max(n, 1), np.uint64)
+    done, step = 1, base
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(step) % _PRIME
+        done, step = done + more, step * step % int(_PRIME)
+    return out
+
+
+_PRIME_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def prime_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """31-bit hash of each run of unsigned values: a polynomial modulo a prime, independent of :func:`run_hashes`."""
+    n = len(values)
+    size = 1 << max(12, int(n).bit_length())
+    if size not in _PRIME_POWERS:
+        _PRIME_POWERS.clear()
+        _PRIME_POWERS[size] = _prime_powers(size, _ROOT), _prime_powers(size, pow(_ROOT, -1, int(_PRIME)))
+    up, down = _PRIME_POWERS[size]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) % _PRIME + np.uint64(1)) * up[:n] % _PRIME, out=sums[1:])
+    return (sums[ends] - sums[starts]) % _PRIME * down[starts] % _PRIME
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte run, from two polynomials of which one is modulo a prime: no input breaks both."""
+    return mix64(run_hashes(data, starts, ends) ^ (prime_hashes(data, starts, ends) << np.uint64(29)))
+
+
 def word_runs(data: np.ndarray, is_word: np.ndarray, offsets: np.ndarray):
     """Maximal runs of word bytes that stay inside one text: starts, ends, and runs before each text."""
     mask = is_word[data].view(np.int8)

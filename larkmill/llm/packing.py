@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, parts, prepare, release, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -36,8 +36,10 @@ END_ID = 0
 LARGE_SHARE = 1 / 8
 #: Numbers of groups that are tried; the plan with the fewest sequences stays.
 GROUPS = (24, 48, 96)
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Bytes that a worker spends on remembered pieces and their ids, about; pieces of over LONG_PIECE characters are not remembered.
+REMEMBERED_BYTES = 64 << 20
+LONG_PIECE = 64
+_ENTRY = 230  # of a dictionary with a short string and its bytes, besides their content
 #: New pieces that are encoded end to end.
 JOINED = 500
 #: Pieces that one task ranks within one length, about.
@@ -60,12 +62,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.sizes = np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode pieces end to end, in runs: each starts with a blank after a non-blank, so none changes its neighbours' ids."""
         joined = [p for p in pieces if p[0] in " \n" and p[-1] not in " \n" and "<|" not in p]
         alone = [p for p in pieces if not (p[0] in " \n" and p[-1] not in " \n" and "<|" not in p)]
@@ -74,6 +77,7 @@ class Encoder:
             self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
             for token, k in vocabulary.items():
                 self.sizes[k] = len(token)  # a character stands for a byte
+        learned: dict[str, bytes] = {}
         runs = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
         for run, encoding in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(encoding.ids, "<u4")
@@ -83,18 +87,23 @@ class Encoder:
                 alone += run
                 continue
             raw, at = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
-            self.known.update(zip(run, (raw[a:b] for a, b in zip(at, at[1:]))))
-        self.known.update(zip(alone, self._encode(alone)))
+            learned.update(zip(run, (raw[a:b] for a, b in zip(at, at[1:]))))
+        learned.update(zip(alone, self._encode(alone)))
+        return learned
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
         split = [None if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
         missing = {p for pieces in split if pieces for p in pieces} - self.known.keys()
-        if missing:
-            self._learn(list(missing))
-        get = self.known.__getitem__
-        return [self._encode([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split)]
+        fresh = self._learn(list(missing)) if missing else {}
+        get = (self.known | fresh).__getitem__ if len(fresh) * 8 > len(self.known) else lambda p: self.known.get(p) or fresh[p]
+        out = [self._encode([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split)]
+        kept = {p: raw for p, raw in fresh.items() if len(p) <= LONG_PIECE}
+        self.held += sum(_ENTRY + len(p) + len(raw) for p, raw in kept.items())
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.held = {}, 0
+        else:
+            self.known.update(kept)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -123,12 +132,12 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids
 
 def tokenize(docs: DataFrame, *, tokenizer: str | None = None, capacity=CAPACITY, end_id=END_ID, with_ids=True, doc_id="doc_id", text="text") -> DataFrame:
     """One row for each piece of each document; ``ids`` as little-endian 32-bit bytes (null without ``with_ids``)."""
-    prepare(docs.sparkSession, 500)
+    prepare(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encode = encoder(tokenizer or default_tokenizer())
-        for batch in batches:
+        for batch in parts(batches, "packed_text", 2 << 20):
             ids = encode([x or "" for x in batch.column("packed_text").to_pylist()])
             owner, piece, start, length, crc, kept = [], [], [], [], [], []
             for d, raw in zip(batch.column("packed_id").to_pylist(), ids):
@@ -147,7 +156,11 @@ def tokenize(docs: DataFrame, *, tokenizer: str | None = None, capacity=CAPACITY
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:
-    """An optimal basis of the configuration programme: (copies of each size, times used)."""
+    """A basis of the configuration programme: (copies of each size, times used).
+
+    It is optimal unless ``60 * m`` steps don't suffice for ``m`` sizes; then the last basis is
+    given, which packs everything too, in a few sequences more.
+    """
     m = len(sizes)
     size, need = np.array(sizes), np.array(demand, float)
     basis = np.diag([float(capacity // s) for s in sizes])

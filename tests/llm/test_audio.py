@@ -29,6 +29,11 @@ def test_round_trip_of_wav():
         sink.writeframes(bytes([128, 255] * 100))
     back, rate = audio.decode(out.getvalue())
     assert rate == 8000 and len(back) == 100 and abs(back[0] - 127 / 256) < 1e-6
+    out = io.BytesIO()
+    with wave.open(out, "wb") as sink:  # 24 bits
+        sink.setparams((1, 3, audio.RATE, 0, "NONE", ""))
+        sink.writeframes(b"".join(int(x * 8388607).to_bytes(3, "little", signed=True) for x in sound))
+    assert np.abs(audio.decode(out.getvalue())[0] - sound).max() < 1e-6
     for bad in (None, b"", b"RIFF", b"nonsense" * 10, audio.wav(sound)[:30]):
         assert len(audio.fingerprint(bad)[0]) == 0
 
