@@ -11,12 +11,14 @@ include a long stretch without a sentence end, each with the least hash of any
 ``PASSAGE - GRAM + 1`` consecutive ones. So every repeated passage of ``PASSAGE`` words has
 a run of sentences or of words in common with its repetitions, wherever it is placed.
 
-Hashes are joined globally; the first occurrence (least document id, then place) stays, and
-the sentences or words that any other occurrence covers are removed.
-
-Equal hashes meet after a map-side reduction, which a frequent passage can't overload; the
-repeated ones are joined back to their spans by a join that Spark may split, and what is to
-go reaches the texts by document id.
+Hashes are joined globally: 64 bits to meet by and 31 bits of another kind to confirm. The
+first occurrence (least document id, then text, then place) stays, and the sentences or words
+that any other occurrence covers are removed.
+
+A document is an id with a text: texts that share an id are cut each by its own spans, and of
+rows that repeat one is the first occurrence. Equal hashes meet after a map-side reduction,
+which a frequent passage can't overload; the repeated ones are joined back to their spans by
+a join that Spark may split, and what is to go reaches the texts by id and text hash.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, materialize, prepare, run_hashes, slices, text_buffer, word_runs
+from .common import LOWER, WORD, materialize, parts, prepare, prime_hashes, release, run_hashes, text_buffer, tidy, word_hashes, word_runs
 
 SENTENCES = 3
 WORDS = 20
@@ -36,6 +38,7 @@ LONGEST = 16
 PASSAGE = 51
 #: Words of the runs that don't depend on sentences.
 GRAM = 26
+#: Bytes of text that are looked at together.
 SLICE = 1 << 20
 
 _STOP = np.zeros(256, bool)
@@ -76,7 +79,7 @@ def _sentences(parted, offsets: np.ndarray, longest: int):
     inside = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
     first = np.flatnonzero(fresh | (inside % longest == 0))
     last = np.append(first[1:], len(starts))
-    words = run_hashes(low, starts, ends)
+    words = word_hashes(low, starts, ends)
     value = _chained(words, first, last)
     text = owner[first]
     a = starts[first]
@@ -95,8 +98,13 @@ def _chained(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return run_hashes(raw, first * 8, last * 8)
 
 
+def _confirmed(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A second, independent hash of each range of hashes."""
+    return prime_hashes(words, first, last).astype(np.int32)
+
+
 def spans(words: np.ndarray, value: np.ndarray, at: np.ndarray, least: int = SENTENCES, least_words: int = WORDS):
-    """(text, first sentence, end sentence, hash) of the runs to compare; sentences are numbered within their text."""
+    """(text, first sentence, end sentence, hash, second hash) of the runs to compare; sentences are numbered within their text."""
     total = np.concatenate([[0], np.cumsum(words)])
     n = len(words)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -107,7 +115,7 @@ def spans(words: np.ndarray, value: np.ndarray, at: np.ndarray, least: int = SEN
     a, b = np.concatenate([i[ok], backward[ko]]), np.concatenate([forward[ok], i[ko] + 1])
     key = np.unique(a * (n + 1) + b)
     a, b = key // (n + 1), key % (n + 1)
-    return text[a], a - at[text[a]], b - at[text[a]], _chained(value, a, b)
+    return text[a], a - at[text[a]], b - at[text[a]], _chained(value, a, b), _confirmed(value, a, b)
 
 
 def _sliding(value: np.ndarray, width: int, pick) -> np.ndarray:
@@ -121,12 +129,12 @@ def _sliding(value: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def passages(words: np.ndarray, fresh: np.ndarray, owner: np.ndarray, before: np.ndarray, stretch: int, gram: int = GRAM, passage: int = PASSAGE):
-    """(text, first word, hash) of the runs of ``gram`` words to compare; words are numbered within their text.
+    """(text, first word, hash, second hash) of the runs of ``gram`` words to compare; words are numbered within their text.
 
     Only a run with ``stretch`` words in a row of one sentence counts. Of ``passage`` words that
     have such a run, the run with the least hash is taken: a choice that depends on them alone.
     """
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     n, width = len(words) - gram + 1, passage - gram + 1
     if len(words) < passage:
         return none
@@ -143,112 +151,146 @@ def passages(words: np.ndarray, fresh: np.ndarray, owner: np.ndarray, before: np
     least[owner[: len(least)] != owner[passage - 1 :]] = 0  # not within one text
     edge = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == rank) & (rank != top))
-    return owner[at], at - before[owner[at]], h[at]
+    return owner[at], at - before[owner[at]], h[at], _confirmed(words, at, at + gram)
+
+
+def _stretch(least: int, least_words: int, longest: int) -> int:
+    """Words of one sentence in a row from which on runs of words are needed: a passage without so many has a run of whole sentences in it."""
+    return max(1, min((PASSAGE - 1) // (least + 1), (PASSAGE - least_words) // 2, longest, GRAM - 1) + 1)
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, least: int, least_words: int, longest: int):
+    """What a buffer of texts is parted into, and its runs: (text, first, last, hash, second hash); the hash is odd for runs of words."""
+    parted = _parted(data, offsets)
+    units = _sentences(parted, offsets, longest)
+    _, _, sizes, value, at, words = units
+    owner, first, last, h, g = spans(sizes, value, at, least, least_words)
+    text, word, gram, more = passages(words, parted[5], parted[4], parted[3], _stretch(least, least_words, longest))
+    joined = [np.concatenate(x) for x in ((owner, text), (first, word), (last, word + GRAM), (h & ~np.uint64(1), gram | np.uint64(1)), (g, more))]
+    return parted, units, joined
+
+
+#: A document: whether it has no id, its id (0 without) and the hash of its text.
+_KEY = ["no_id", "id", "text_hash"]
 
 
-_SPANS = "doc_id long, first int, last int, h long"
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``no_id, id, text_hash, text`` of every row."""
+    key = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return rows.select(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), key.alias("text_hash"), "text")
+
+
+_SPANS = "no_id boolean, id long, text_hash long, first int, last int, h long, g int"
 
 
 def span_rows(docs: DataFrame, *, doc_id="doc_id", text="text", least=SENTENCES, least_words=WORDS, longest=LONGEST) -> DataFrame:
-    """Every run to compare, with its hash; documents without id or words have none.
+    """Every run to compare, with its two hashes; documents without words have none.
 
     The hash is even for runs of sentences and odd for runs of words; ``first`` and ``last``
     count what the run is of.
     """
     prepare(docs.sparkSession)
-    # a passage without so many words of one sentence in a row has a run of whole sentences in it
-    stretch = max(1, min((PASSAGE - 1) // (least + 1), (PASSAGE - least_words) // 2, longest, GRAM - 1) + 1)
 
     def run(batches):
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            data, offsets = text_buffer(batch.column(1))
-            for a, b in slices(offsets, SLICE):
-                cut = offsets[a : b + 1]
-                parted = _parted(data[cut[0] : cut[-1]], cut - cut[0])
-                _, _, sizes, value, at, words = _sentences(parted, cut - cut[0], longest)
-                if len(words):
-                    owner, first, last, h = spans(sizes, value, at, least, least_words)
-                    text, word, g = passages(words, parted[5], parted[4], parted[3], stretch)
-                    owner, first, last = np.concatenate([owner, text]), np.concatenate([first, word]), np.concatenate([last, word + GRAM])
-                    h = np.concatenate([h & ~np.uint64(1), g | np.uint64(1)])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][owner]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "first", "last", "h"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("span_id"), F.col(text).alias("span_text")).where("span_id is not null")
-    return rows.mapInArrow(run, _SPANS)
+        for batch in parts(batches, "text", SLICE):
+            data, offsets = text_buffer(batch.column("text"))
+            owner, first, last, h, g = _runs(data, offsets, least, least_words, longest)[2]
+            key = [batch.column(c).take(pa.array(owner)) for c in _KEY]
+            yield pa.RecordBatch.from_arrays([*key, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g)], [*_KEY, "first", "last", "h", "g"])
+
+    return _keyed(docs, doc_id, text).mapInArrow(run, _SPANS)
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """``doc_id, of_words, first, last`` of every span that is not the first with its hash.
+    """``no_id, id, text_hash, of_words, first, last`` of every span that is not the first with its hash.
 
-    Of words that overlap the first occurrence, only those beyond it go.
+    Of words that overlap the first occurrence, only those beyond it go. A span whose second
+    hash differs from that of the first occurrence is none of its repetitions.
 
     The first occurrences are written before they are joined back: a join of two plain
     shuffles can be split where a hash is frequent, one above an aggregate can't.
     """
-    kept = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first")).alias("kept")).where("n > 1").select("h", "kept")
+    place = F.struct(*_KEY, "first", "g")
+    kept = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1").select("h", "kept")
     kept = materialize(kept, "first-spans")
-    found = rows.join(kept, "h")
-    found = found.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("first") != F.col("kept.first"))).withColumn("of_words", F.col("h").bitwiseAND(1) == 1)
-    beyond = F.when(F.col("of_words") & (F.col("doc_id") == F.col("kept.doc_id")), F.greatest("first", F.col("kept.first") + GRAM)).otherwise(F.col("first"))
-    return found.select("doc_id", "of_words", beyond.alias("first"), "last")
+    tidy(rows.sparkSession)
+    found = rows.join(kept, "h").where(F.col("g") == F.col("kept.g")).withColumn("of_words", F.col("h").bitwiseAND(1) == 1)
+    same = F.lit(True)
+    for c in _KEY:
+        same &= F.col(c) == F.col(f"kept.{c}")
+    found = found.where(~(same & (F.col("first") == F.col("kept.first"))))
+    beyond = F.when(F.col("of_words") & same, F.greatest("first", F.col("kept.first") + GRAM)).otherwise(F.col("first"))
+    return found.select(*_KEY, "of_words", beyond.alias("first"), "last")
 
 
 def removed_ranges(again: DataFrame) -> DataFrame:
-    """``cut_id, cuts``: for each document the ranges of sentences and of words that go, merged before they are gathered."""
-    # the farthest end for each start: a document has at most two spans of sentences with one start
-    far = again.groupBy("doc_id", "of_words", "first").agg(F.max("last").alias("last"))
-    return far.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "of_words"))).alias("cuts")).withColumnRenamed("doc_id", "cut_id")
+    """``no_id, id, text_hash, cuts``: for each document the ranges of sentences and of words that go, merged before they are gathered."""
+    # the farthest end for each start: no document has more ranges than words
+    far = again.groupBy(*_KEY, "of_words", "first").agg(F.max("last").alias("last"))
+    return far.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last", "of_words"))).alias("cuts"))
+
+
+_CUT = "doc_id long, text string, n_sentences long, n_removed long"
 
 
 def dedup(docs: DataFrame, *, doc_id="doc_id", text="text", least=SENTENCES, least_words=WORDS, longest=LONGEST) -> DataFrame:
     """``doc_id, text, n_sentences, n_removed``: every document without its repeated passages.
 
-    ``n_removed`` counts the sentences that are gone or have lost words.
-    A repetition within one document counts too. Rows with the same id and text are the same
-    document and are cut alike; the first of different texts that share an id is the one whose
-    span comes first. Null texts stay null, empty ones empty; documents without id are not
-    compared and stay whole. A text all of whose sentences go becomes empty. An empty table
-    gives an empty result.
+    ``n_removed`` counts the sentences that are gone or have lost words. A repetition within
+    one document counts too. Occurrences are in the order of the documents' ids, those without
+    an id last; of different texts that share an id, each is a document of its own, ordered by
+    a hash of the text. Rows that repeat (same id and text) stay as rows, and all but one lose
+    every passage that can be compared. Null texts stay null, empty ones empty; a text all of
+    whose sentences go becomes empty. Very long texts are compared and cut whole. Other
+    columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = materialize(span_rows(docs, doc_id=doc_id, text=text, least=least, least_words=least_words, longest=longest), "spans")
-    cuts = removed_ranges(repeated(rows))
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    joined = whole.join(cuts, whole["doc_id"] == cuts["cut_id"], "left").select("doc_id", "text", F.col("cuts.first").alias("first"), F.col("cuts.last").alias("last"), F.col("cuts.of_words").alias("of_words"))
+    cuts = materialize(removed_ranges(repeated(rows)), "span-cuts")
+    release(rows)
+    tidy(spark)
+    # rows that repeat are one here, however many they are
+    whole = _keyed(docs, doc_id, text).groupBy(*_KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    joined = whole.join(cuts, _KEY, "left").select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "text", "copies", F.col("cuts.first").alias("first"), F.col("cuts.last").alias("last"), F.col("cuts.of_words").alias("of_words"))
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in parts(batches, "text", SLICE):
             data, offsets = text_buffer(batch.column("text"))
+            (_, starts, _, before, _, _), (a, _, _, _, at, _), (owner, *run_ends, h, _) = _runs(data, offsets, least, least_words, longest)
+            of_words = (h & np.uint64(1)) == 1
+
+            def without(k, first, last, kind):
+                """The text without the ranges, and how many sentences they touch."""
+                i, j, x, y = at[k], at[k + 1], offsets[k], offsets[k + 1]
+                units = np.append(a[i:j], y) - x
+                heads = np.append(starts[before[k] : before[k + 1]], y) - x
+                out = np.zeros(y - x + 1, np.int64)
+                for edge, mine in ((units, ~kind), (heads, kind)):
+                    np.add.at(out, edge[np.minimum(first[mine], len(edge) - 1)], 1)
+                    np.add.at(out, edge[np.minimum(last[mine], len(edge) - 1)], -1)
+                out = np.cumsum(out[:-1]) > 0
+                return data[x:y][~out].tobytes().decode("utf-8", "replace"), int(np.logical_or.reduceat(out, units[:-1]).sum())
+
+            texts, ids, copies = (batch.column(c).to_pylist() for c in ("text", "doc_id", "copies"))
             firsts, lasts, kinds = (batch.column(c).to_pylist() for c in ("first", "last", "of_words"))
-            count, gone = [], []
-            for lo, hi in slices(offsets, SLICE):
-                cut = offsets[lo : hi + 1] - offsets[lo]
-                part = data[offsets[lo] : offsets[hi]]
-                parted = _parted(part, cut)
-                a, _, _, _, at, _ = _sentences(parted, cut, longest)
-                starts, before = parted[1], parted[3]
-                for k in range(lo, hi):
-                    i, j = at[k - lo], at[k - lo + 1]
-                    count.append(int(j - i))
-                    if not firsts[k] or i == j:
-                        gone.append(0)
-                        continue
-                    x, y = cut[k - lo], cut[k - lo + 1]
-                    units = np.append(a[i:j], y) - x
-                    words = np.append(starts[before[k - lo] : before[k - lo + 1]], y) - x
-                    out = np.zeros(y - x + 1, np.int64)
-                    first, last, kind = np.array(firsts[k]), np.array(lasts[k]), np.array(kinds[k])
-                    for edge, own in ((units, ~kind), (words, kind)):
-                        np.add.at(out, edge[np.minimum(first[own], len(edge) - 1)], 1)
-                        np.add.at(out, edge[np.minimum(last[own], len(edge) - 1)], -1)
-                    out = np.cumsum(out[:-1]) > 0
-                    gone.append(int(np.logical_or.reduceat(out, units[:-1]).sum()))
-                    texts[k] = part[x:y][~out].tobytes().decode("utf-8", "replace")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
-
-    return joined.mapInArrow(run, "doc_id long, text string, n_sentences long, n_removed long")
-
-
+            rows = []
+            for k, whole_text in enumerate(texts):
+                n = int(at[k + 1] - at[k])
+                rows.append((ids[k], *(without(k, np.array(firsts[k]), np.array(lasts[k]), np.array(kinds[k])) if firsts[k] and n else (whole_text, 0)), n))
+                if copies[k] > 1:
+                    mine = np.flatnonzero(owner == k)
+                    again = (ids[k], *(without(k, *(x[mine] for x in run_ends), of_words[mine]) if len(mine) else (whole_text, 0)), n)
+                    for done in range(1, copies[k], 1000):
+                        rows += [again] * min(1000, copies[k] - done)
+                        yield _cut_rows(rows)
+                        rows = []
+            yield _cut_rows(rows)
+
+    return joined.mapInArrow(run, _CUT)
+
+
+def _cut_rows(rows) -> pa.RecordBatch:
+    ids, texts, gone, count = zip(*rows) if rows else ([],) * 4
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkmill.llm import neardup, packing, sentences
+from larkmill.llm import common, neardup, packing, sentences
 
 VOCABULARY = [a + b for a in ("ba", "do", "ki", "lu", "me", "no", "pa", "ru", "si", "tu") for b in ("n", "r", "s", "l", "m", "x")]
 
@@ -94,8 +94,39 @@ def test_repeated_passages(docs_of):
             assert rows[i]["text"] == t
     assert sum(bool(g) for g in gone.values()) > 100
     assert sentences.dedup(docs_of(["a"]).limit(0)).count() == 0
-    whole = prose(random.Random(1), 100)
-    assert [r["text"] for r in sentences.dedup(docs_of([whole, whole], [None, None])).collect()] == [whole, whole]
+
+
+def test_texts_that_share_an_id_and_rows_that_repeat(docs_of):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, b), (3, c), (3, c + d), (3, d), (None, d), (None, None), (None, ""), (4, None), (4, None)]
+    got = Counter((r["doc_id"], r["text"]) for r in sentences.dedup(docs_of([t for _, t in rows], [i for i, _ in rows])).collect())
+    assert got[1, a] == 1 and got[2, b] == 1 and got[2, ""] == 3 and got[None, ""] == 2 and got[4, None] == 2 and got[None, None] == 1
+    left = [t for (i, t), n in got.items() for _ in range(n) if i == 3]
+    assert len(left) == 3 and Counter(w for t in left for w in brute.words(t)) == Counter(brute.words(c + d))  # each passage stays once
+    # each (id, text) as a document of its own, against brute force
+    texts = collection(12)
+    ids = [rng.choice([1, 2, 3, None, 1000 + k]) for k in range(len(texts))]
+    out = [(r["doc_id"], r["n_removed"]) for r in sentences.dedup(docs_of(texts, ids)).collect()]
+    assert len(out) == len(texts) and Counter(i for i, _ in out) == Counter(ids)
+    named = {1000 + k: t for k, (i, t) in enumerate(zip(ids, texts)) if i == 1000 + k}
+    content = Counter(s for t in set(t for t in texts if t) for s in set(brute.spans(t).values()))
+    for i, n in out:
+        if i in named and named[i] and texts.count(named[i]) == 1 and all(content[s] == 1 for s in brute.spans(named[i]).values()) and len(brute.spans(named[i]).values()) == len(set(brute.spans(named[i]).values())):
+            assert n == 0  # nothing that occurs once is removed
+
+
+def test_hashes_that_no_input_breaks():
+    morse = [bin(k).count("1") % 2 for k in range(4096)]
+    one, two = (bytes(97 + (b ^ x) for b in morse) for x in (0, 1))
+    data = np.frombuffer(one + two, np.uint8)
+    starts, ends = np.array([0, 4096]), np.array([4096, 8192])
+    assert len(set(common.run_hashes(data, starts, ends).tolist())) == 1  # what a polynomial modulo 2**64 alone can't tell apart
+    assert len(set(common.word_hashes(data, starts, ends).tolist())) == 2
+    values = np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    base, prime = int(common._ROOT), int(common._PRIME)
+    got = common.prime_hashes(values, np.array([0, 17, 4000]), np.array([5, 900, 5000]))
+    assert got.tolist() == [sum((int(v) % prime + 1) * pow(base, k, prime) for k, v in enumerate(values[a:b])) % prime for a, b in ((0, 5), (17, 900), (4000, 5000))]
 
 
 def test_passages_leave_no_second_copy(docs_of):
