@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import time
 import zlib
 from urllib.parse import quote
 
@@ -178,6 +179,47 @@ def test_escapes_map_to_their_own_characters():
     assert text[found[0] : found[2]] == "%70assword%3Dabcdefgh"
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "".join(f"%{b:02X}" for b in b"abcdefghij" * 33_000 + SECRET.encode()),
+        "".join(f"%{b:02X}" for b in ("é" * 150_000 + SECRET).encode()),
+        "a%41b" * 200_000 + "%70assword%3Dhunter2222",
+        "".join(f"\\u{ord(c):04x}" for c in "z " * 80_000 + SECRET),
+        "%" + "25" * 500_000 + "70assword=hunter2222",
+        "\\" + "u005c" * 200_000 + "u0070assword=hunter2222",
+    ],
+)
+def test_long_texts_without_blanks_take_linear_time(text):
+    start = time.process_time()
+    assert any(k == 0 for _, k, _ in secrets.spans_of(text)[1])
+    assert time.process_time() - start < 6  # a quadratic scan takes minutes
+
+
+def test_places_are_those_of_each_character():
+    text = "é a%41%C3%A9\\u0070assword\\x3d%61bcdefgh \\ud83d\\ude00 z"
+    layers = list(secrets._children(text))
+    for inner, source in layers:
+        for k in range(len(inner)):
+            a, b = source(k, k + 1)
+            assert 0 <= a < b <= len(text)
+            if b - a == 1:
+                assert text[a] == inner[k]
+            assert source(k, len(inner))[0] == a and source(0, k + 1)[1] == b
+    assert any("Aé" in inner for inner, _ in layers) and any("\U0001f600" in inner for inner, _ in layers)
+
+
+def test_streams_in_other_bytes_and_after_each_other():
+    plain = f" text with {SECRET} in it "
+    for raw in (b"\x00\x01" + gzip.compress(gzip.compress(b"a") + plain.encode()), gzip.compress(b"\x00some" + zlib.compress(plain.encode()) + b"\x00"), gzip.compress(b"\x01" * (3 << 20) + bz2.compress(plain.encode()))):
+        assert any(k == 0 for _, k, _ in secrets.spans_of(base64.b64encode(raw).decode())[1])
+
+
+def test_null_ids_and_repeated_rows_are_scanned(docs_of):
+    rows = secrets.digest(secrets.scan_secrets(docs_of([SECRET, SECRET, None], [None, None, None]))).collect()
+    assert sorted(r["n_assign"] for r in rows) == [0, 1, 1] and all(r["doc_id"] is None for r in rows)
+
+
 def test_redaction_keeps_rows_and_columns(docs_of):
     docs = docs_of(SECRETS)
     out = secrets.redact(docs)
