@@ -1,11 +1,16 @@
 """Plain versions of what the operators compute, straight from their definitions."""
 
+import functools
 import hashlib
 import math
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
+from larkmill.llm import common
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -65,19 +70,32 @@ def classes(rows, threshold=0.8):
     return {i: (find(i), links[i]) for i in ids}
 
 
-def sentences(text, longest=16):
-    """(piece of text, words) of every sentence of a text with words."""
-    out, count, start, at = [], 0, 0, 0
+def sentences(text, longest=24, radius=3, apart=4):
+    """The sentences of a text as tuples of words, long ones parted at words with the least hash around."""
+    out, at = [], 0
     for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw := (text or "").encode().translate(LOWER)):
         gap = raw[at : m.start()]
         broken = any((gap[k : k + 1] in (b".", b"!", b"?") and gap[k + 1 : k + 2] in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) or gap[k : k + 1] == b"\n" for k in range(len(gap)))
-        if out and (broken or len(out[-1]) % longest == 0):
-            out.append([])
-        if not out:
+        if broken or not out:
             out.append([])
         out[-1].append(m[0])
         at = m.end()
-    return [tuple(s) for s in out]
+    flat = [w for s in out for w in s]
+    value, k, pieces = [word_hash(w) for w in flat], 0, []
+    for s in out:
+        for j, w in enumerate(s):
+            around = value[max(0, k - radius) : k] + value[k + 1 : k + radius + 1]
+            if not j or (apart <= j <= len(s) - apart and all(value[k] < v for v in around)):
+                pieces.append([])
+            pieces[-1].append(w)
+            k += 1
+    return [tuple(p[k : k + longest]) for p in pieces for k in range(0, len(p), longest)]
+
+
+@functools.cache
+def word_hash(word):
+    data = np.frombuffer(word, np.uint8)
+    return int(common.word_hashes(data, np.array([0]), np.array([len(data)]))[0])
 
 
 def spans(text, least=3, least_words=20):
