@@ -11,15 +11,19 @@ chosen-path join of ``runs`` independent trees finds nodes of similarity ``thres
   at the threshold is expected to stay together once at each level;
 * a small bucket is compared by brute force. A bucket that stops shrinking, or is large at
   the deepest level, holds mutually similar nodes: it is compared exactly as well, block
-  against block, each pair of blocks a task's group of bounded size;
+  against block, each pair of blocks a task's group of bounded size. Nodes that were together
+  in such a bucket of another run already are not compared again;
 * runs are repeated until a pair at the threshold is missed with probability below
-  1 - ``recall``.
+  1 - ``recall`` even where its bucket is split to the deepest level. Below the root every
+  run picks its own tokens, so runs that split the same coordinate are independent there.
 
 Comparison is by sketches of one byte per coordinate first, and pairs that pass are verified
 with their whole shingle sets. A pair that shares several paths is verified and counted only
 at the least of them, so neither pairs nor their repetitions are ever written out: tasks
-return each node's number of partner documents and the local class it belongs to. Classes are
-connected by alternating star contraction, in Spark, never on the driver.
+return each node's number of partner documents and the local class it belongs to. Counting
+the links within a group of mutually similar, different texts takes work with the square of
+their number (copies are one node and take none). Classes are connected by alternating star
+contraction, in Spark, never on the driver.
 """
 
 from __future__ import annotations
@@ -31,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, materialize, mix64, prepare, run_hashes, slices, text_buffer, word_runs
+from .common import LOWER, WORD, materialize, mix64, parts, prepare, release, slices, text_buffer, tidy, word_hashes, word_runs
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RECALL = 0.9999
+#: Of pairs at the threshold, wherever their buckets are split to the deepest level; of others more.
+RECALL = 0.99
 COORDINATES = 128
 #: Buckets of up to so many nodes are compared at once; larger ones are split.
 SMALL = 250
@@ -53,24 +58,26 @@ _A = np.random.default_rng(SEED).integers(1, 1 << 32, COORDINATES, dtype=np.uint
 _X = np.random.default_rng(SEED + 1).integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32)
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """A run loses a pair at the threshold at one level with probability 1/e; so many runs leave 1 - recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.exp(-1)) * threshold)))
+def survival(splits: int) -> float:
+    """Probability that a pair at the threshold, expected to stay together once at each split, still is somewhere after so many."""
+    left = 1.0
+    for _ in range(splits):
+        left = 1 - math.exp(-left)
+    return left
 
 
-def roots(threshold: float, runs: int) -> list[tuple[int, int]]:
-    """(run, coordinate) of the root's splits: each run has one at least.
+def runs_for(threshold: float, recall: float, splits: int = DEPTH - 1) -> int:
+    """Independent runs that leave a pair at the threshold unfound with probability 1 - recall, if all of its buckets are split so often below the root."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold * survival(splits))))
 
-    A coordinate is split once: in another run it would give the same buckets again.
-    """
+
+def roots(threshold: float, runs: int) -> list[tuple[int, int]]:
+    """(run, coordinate) of the root's splits: each run picks its own, one at least."""
     rng = np.random.default_rng(SEED + 2)
-    out, free = [], np.ones(COORDINATES, bool)
+    out = []
     for run in range(runs):
-        picked = np.flatnonzero((rng.random(COORDINATES) < 1 / (threshold * COORDINATES)) & free)
-        if not len(picked) and free.any():
-            picked = rng.choice(np.flatnonzero(free), 1)
-        free[picked] = False
-        out += [(run, int(c)) for c in picked]
+        picked = np.flatnonzero(rng.random(COORDINATES) < 1 / (threshold * COORDINATES))
+        out += [(run, int(c)) for c in (picked if len(picked) else rng.choice(COORDINATES, 1))]
     return out
 
 
@@ -78,7 +85,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
     """Shingle hashes of all texts, in order, and where each text's begin."""
     low = LOWER[data]
     starts, ends, before = word_runs(low, WORD, offsets)
-    words = run_hashes(low, starts, ends)
+    words = word_hashes(low, starts, ends)
     n_words = np.diff(before)
     count = np.where(n_words > 0, np.maximum(n_words - size + 1, 1), 0)
     at = np.concatenate([[0], np.cumsum(count)])
@@ -112,13 +119,14 @@ def sketch(chosen: np.ndarray) -> np.ndarray:
     return (mix64(chosen + np.arange(COORDINATES, dtype=np.uint64)) & np.uint64(255)).astype(np.uint8)
 
 
-def node_key(own: np.ndarray) -> int:
-    """A 64-bit key of a set of distinct shingle hashes."""
-    one = np.array([np.add.reduce(mix64(own)), np.bitwise_xor.reduce(mix64(own + np.uint64(1))), np.uint64(len(own))], np.uint64)
-    return int(mix64(one[:1] ^ mix64(one[1:2] + one[2:])).view(np.int64)[0])
+def node_key(own: np.ndarray) -> tuple[int, int]:
+    """A 128-bit key of a set of distinct shingle hashes."""
+    one, two = (np.add.reduce(mix64(own ^ np.uint64(salt))) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+    low, high = mix64(np.array([one + np.uint64(len(own)), two], np.uint64)).view(np.int64)
+    return int(high), int(low)
 
 
-_NODES = "doc_id long, node long, sketch binary, paths array<long>"
+_NODES = "doc_id long, high long, low long, sketch binary, paths array<long>"
 
 
 def node_rows(docs: DataFrame, threshold: float, runs: int, size: int, doc_id: str, text: str) -> DataFrame:
@@ -128,22 +136,21 @@ def node_rows(docs: DataFrame, threshold: float, runs: int, size: int, doc_id: s
     salt = mix64(np.arange(1, len(split) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1, SLICE):
             data, offsets = text_buffer(batch.column(1))
-            node, sketches, paths = [], [], []
-            for a, b in slices(offsets, SLICE):
-                cut = offsets[a : b + 1]
-                value, at = shingles(data[cut[0] : cut[-1]], cut - cut[0], size)
-                for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-                    if i == j:
-                        node.append(None), sketches.append(None), paths.append(None)
-                        continue
-                    own = np.unique(value[i:j])
-                    chosen = embedded(own)
-                    node.append(node_key(own))
-                    sketches.append(sketch(chosen).tobytes())
-                    paths.append(mix64(chosen[picked] ^ salt).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "node", "sketch", "paths"])
+            value, at = shingles(data, offsets, size)
+            keys, sketches, paths = [], [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                if i == j:
+                    keys.append((None, None)), sketches.append(None), paths.append(None)
+                    continue
+                own = np.unique(value[i:j])
+                chosen = embedded(own)
+                keys.append(node_key(own))
+                sketches.append(sketch(chosen).tobytes())
+                paths.append(mix64(chosen[picked] ^ salt).astype(np.int64))
+            high, low = zip(*keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "high", "low", "sketch", "paths"])
 
     return docs.select(F.col(doc_id).cast("long").alias("near_id"), F.col(text).alias("near_text")).mapInArrow(run, _NODES)
 
@@ -176,13 +183,15 @@ def leaves(nodes: DataFrame, threshold: float, small: int, depth: int, dense: fl
     done: list[DataFrame] = []
     for level in range(1, depth + 1):
         if level > 1:
-            rows = rows.dropDuplicates(["path", "node"])
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = materialize(rows.join(sizes, "path"), "paths")
+            rows = materialize(rows.dropDuplicates(["path", "node"]), "paths")
+        # both written, so that the join is of plain shuffles and can be split at a large bucket
+        sizes = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        sized = materialize(rows.join(sizes, "path"), "sized-paths")
+        release(sizes, rows)
         ends = F.col("size") <= small if level < depth else F.lit(True)
         stuck = F.coalesce(F.col("size") >= dense * F.col("parent_size"), F.lit(False))
-        done.append(rows.where(ends | stuck).select("path", "node", "size"))
-        more = rows.where(~(ends | stuck)).select("path", "node", "size")
+        done.append(sized.where(ends | stuck).select("path", "node", "size"))
+        more = sized.where(~(ends | stuck)).select("path", "node", "size")
         if level == depth or more.isEmpty():
             break
         held = more.join(nodes.select("node", "sketch"), "node")
@@ -196,14 +205,29 @@ def leaves(nodes: DataFrame, threshold: float, small: int, depth: int, dense: fl
 def blocks(rows: DataFrame, small: int, block: int) -> DataFrame:
     """One row for each group of nodes that are compared: ``path, one, two`` and the node's own block.
 
-    Small buckets are one group; of others every pair of blocks is.
+    Small buckets are one group; of others every pair of blocks is. A large bucket's nodes that
+    were together in an earlier large one (that with the least path) are not compared with each
+    other again, only with the rest.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
-    split = rows.withColumn("parts", F.when(F.col("size") <= 2 * small, F.lit(1)).otherwise(parts))
-    split = split.withColumn("own", F.pmod(F.xxhash64("node", "path"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    split = split.withColumn("other", other)
-    return split.select("path", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node")
+    lit = F.lit
+    few = rows.where(F.col("size") <= 2 * small).select("path", lit(0).alias("one"), lit(0).alias("two"), lit(0).alias("own"), "node")
+    large = rows.where(F.col("size") > 2 * small)
+    earlier = large.groupBy("node").agg(F.min("path").alias("mark"))
+    marked = materialize(large.select("path", "node").join(earlier, "node"), "near-large")
+    known = marked.groupBy("path", "mark").agg(F.count(lit(1)).alias("n")).groupBy("path").agg(F.min("mark").alias("least"), F.min_by("n", "mark").alias("n"), F.sum("n").alias("size"))
+    known = materialize(known.withColumn("n", F.when(F.col("least") < F.col("path"), F.col("n")).otherwise(0)), "near-known")
+
+    def pieces(n):
+        return F.ceil(n / block).cast("int")
+
+    split = marked.join(known, "path").withColumn("old", (F.col("mark") == F.col("least")) & (F.col("n") > 0))
+    split = split.withColumn("first", pieces(F.col("n"))).withColumn("rest", pieces(F.col("size") - F.col("n")))
+    deal = F.xxhash64("node", "path")
+    own = F.when(F.col("old"), F.pmod(deal, F.greatest("first", lit(1)))).otherwise(F.col("first") + F.pmod(deal, F.greatest("rest", lit(1)))).cast("int")
+    low = F.when(F.col("old"), F.col("first")).otherwise(0)
+    split = split.withColumn("own", own).where(low < F.col("first") + F.col("rest"))
+    split = split.withColumn("other", F.explode(F.sequence(low, F.col("first") + F.col("rest") - 1)))
+    return few.unionByName(split.select("path", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node"))
 
 
 def _groups(batches):
@@ -371,47 +395,44 @@ def _sets(size: int):
     """Shingle sets of wanted nodes; other texts that share an id are left out."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text", SLICE):
             data, offsets = text_buffer(batch.column("text"))
-            wanted = batch.column("node").to_pylist()
+            value, at = shingles(data, offsets, size)
             node, out = [], []
-            for a, b in slices(offsets, SLICE):
-                cut = offsets[a : b + 1]
-                value, at = shingles(data[cut[0] : cut[-1]], cut - cut[0], size)
-                for k, i, j in zip(range(a, b), at[:-1].tolist(), at[1:].tolist()):
-                    own = np.unique(value[i:j])
-                    if len(own) and node_key(own) == wanted[k]:
-                        node.append(wanted[k])
-                        out.append(own.tobytes())
+            for who, high, low, i, j in zip(*(batch.column(c).to_pylist() for c in ("node", "high", "low")), at[:-1].tolist(), at[1:].tolist()):
+                own = np.unique(value[i:j])
+                if len(own) and node_key(own) == (high, low):
+                    node.append(who)
+                    out.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
 
     return run
 
 
-def connect(edges: DataFrame, limit: int = 60) -> DataFrame:
+def connect(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node that has an edge (``a``, ``b``): the least node it is connected with.
 
     Alternating large and small stars, each a minimum by node and a join back, until nothing
-    changes; every round is written to the shared folder.
+    changes; every round is written to the shared folder, and the one before it deleted.
     """
     now = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
     state = None
-    for _ in range(limit):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written, so that the joins back are of plain shuffles and split where a node has very many edges
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         # large star: the larger neighbours go to the least
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        down = materialize(down, "down")
+        down = materialize(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "down")
         low = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = materialize(small.where("a <> b").distinct(), "edges")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        after = materialize(small.where("a <> b").distinct(), "edges")
+        release(now, least, down, low)
+        now = after
+        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if seen == state:
+            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        state = seen
 
 
 def near_duplicates(docs: DataFrame, *, threshold=THRESHOLD, recall=RECALL, size=SHINGLE, small=SMALL, block=BLOCK, depth=DEPTH, dense=DENSE, doc_id="doc_id", text="text") -> DataFrame:
@@ -421,36 +442,47 @@ def near_duplicates(docs: DataFrame, *, threshold=THRESHOLD, recall=RECALL, size
     or more. ``n_links`` counts the other documents that one is linked with, ``class_id`` is
     the least id among all that it is connected with. Documents without words are linked with
     none; documents without an id are compared with none and have a null class. Rows that
-    repeat count as copies. An empty table gives an empty result.
+    repeat count as copies; of texts that share an id each is compared, and each row gets the
+    class of its text. Very long texts are compared whole; other columns are ignored. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
     split = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     all_rows = materialize(node_rows(docs, threshold, runs_for(threshold, recall), size, doc_id, text), "near-documents")
-    compared = all_rows.where("node is not null and doc_id is not null")
-    nodes = materialize(compared.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "near-nodes")
+    compared = all_rows.where("high is not null and doc_id is not null")
+    same = compared.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    nodes = materialize(same.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    tidy(spark)
     leaf = materialize(leaves(nodes, threshold, small, depth, dense), "near-leaves")
     groups = blocks(leaf, small, block)
     known = leaf.groupBy("node").agg(F.sort_array(F.collect_set("path")).alias("leaves"))  # a few paths of each run
     profile = materialize(nodes.join(known, "node").select("node", "copies", "sketch", "leaves"), "near-profiles")
+    tidy(spark)
 
     def arranged(rows: DataFrame) -> DataFrame:
         return rows.repartition(split, "path", "one", "two").sortWithinPartitions("path", "one", "two", "node")
 
     sketched = arranged(groups.join(profile.drop("copies"), "node"))
     wanted = materialize(sketched.select("path", "one", "two", "own", "node", "sketch", "leaves").mapInArrow(_sketched(threshold), _WANTED), "near-wanted")
-    need = wanted.select("node").distinct().join(nodes.select("node", "first_id"), "node")
+    release(leaf)
+    tidy(spark)
+    need = wanted.select("node").distinct().join(nodes.select("node", "high", "low", "first_id"), "node")
     texts = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text"))
-    held = texts.join(need, "first_id").select("node", "text").mapInArrow(_sets(size), "node long, shingles binary")
+    held = texts.join(need, "first_id").select("node", "high", "low", "text").mapInArrow(_sets(size), "node long, shingles binary")
     held = held.dropDuplicates(["node"])
     full = wanted.join(profile, "node").join(held, "node")
     found = materialize(arranged(full).select("path", "one", "two", "own", "node", "copies", "sketch", "leaves", "shingles").mapInArrow(_verified(threshold), _FOUND), "near-links")
+    release(wanted, profile)
+    tidy(spark)
     classes = connect(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "first_id", "copies").join(classes, "node", "left").join(links, "node", "left")
+    named = nodes.select("high", "low", "node", "first_id", "copies").join(classes, "node", "left").join(links, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = named.join(least, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    linked = compared.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links")
-    rest = all_rows.where("node is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = named.join(least, "root").select("high", "low", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # written, so that the join back can be split at a large group of copies
+    named = materialize(named, "near-classes")
+    linked = compared.select("doc_id", "high", "low").join(named, ["high", "low"]).select("doc_id", "class_id", "n_links")
+    rest = all_rows.where("high is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(rest)

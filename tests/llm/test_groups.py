@@ -79,7 +79,29 @@ def test_connected_classes(spark):
 
 def test_runs_follow_recall():
     assert neardup.runs_for(0.8, 0.99) < neardup.runs_for(0.8, 0.9999)
-    assert {r for r, _ in neardup.roots(0.8, 12)} == set(range(12))
+    assert (1 - 0.8 * neardup.survival(neardup.DEPTH - 1)) ** neardup.runs_for(0.8, neardup.RECALL) <= 1 - neardup.RECALL
+    split = neardup.roots(0.8, 20)
+    assert {r for r, _ in split} == set(range(20)) and len(split) >= 20
+
+
+def test_deep_splits_lose_few_links(docs_of):
+    """Pairs near the threshold whose every bucket is split three times more: recall against brute force."""
+    rng = random.Random(21)
+    shared, texts = prose(rng, 55), []
+    for _ in range(120):
+        own = prose(rng, 60)
+        texts += [shared + own, shared + edited(rng, own, 2)]
+    sets = [brute.shingles(t) for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 80
+    got = neardup.near_duplicates(docs_of(texts), small=3, block=8, depth=neardup.DEPTH, dense=2.0).collect()
+    assert sum(r["n_links"] for r in got) >= 0.97 * 2 * len(want)
+
+
+def test_a_long_chain_of_links_is_one_class(spark):
+    n = 3000
+    rows = neardup.connect(spark.createDataFrame([(k, k - 1) for k in range(1, n)], "a long, b long")).collect()
+    assert len(rows) == n - 1 and {r["root"] for r in rows} == {0}
 
 
 @pytest.mark.parametrize("block", [sentences.BLOCK, 3000])
