@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import LOWER, VISIBLE, fold, mix64, prepare, run_hashes, slices, text_buffer, word_runs
+from .common import LOWER, VISIBLE, fold, mix64, parts, prepare, run_hashes, slices, text_buffer, word_runs
 
 PASSAGE_WORDS = 64
 TRIGRAM_BITS = 8
@@ -66,6 +66,7 @@ def _within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def _encoded(data, starts, ends, a, b, lo, hi, size):
     n, m = len(lo), len(data)
     out = np.zeros((n, (1 << TRIGRAM_BITS) + _STATS), np.float32)
+    out[:, -1] = np.log1p(size) / 4
     if m == 0 or n == 0:
         return out
     length = np.maximum(hi - lo, 1).astype(np.float32)
@@ -88,6 +89,7 @@ def _encoded(data, starts, ends, a, b, lo, hi, size):
     if len(starts):
         words = run_hashes(LOWER[data], starts, ends)
         again = np.concatenate([[False], words[1:] == words[:-1]])
+        again[a[b > a]] = False  # passages know nothing of each other
         s[:, 5] = _within(again, a, b) / size
         order = np.lexsort((words, np.repeat(np.arange(n), b - a))) if (b - a).sum() == len(words) else np.arange(len(words))
         group = np.repeat(np.arange(n), b - a)[order] if (b - a).sum() == len(words) else np.zeros(len(words), np.int64)
@@ -99,7 +101,6 @@ def _encoded(data, starts, ends, a, b, lo, hi, size):
         s[:, 8] = _within(_MARK[data[starts]], a, b) / size
         s[:, 9] = _within(_MARK[data[ends - 1]], a, b) / size
         s[:, 10] = _within(width > 20, a, b) / size
-    s[:, 11] = np.log1p(size) / 4
     return out
 
 
@@ -207,14 +208,15 @@ def score(docs: DataFrame, model: Model, *, modulus=3, held_out=1, doc_id="doc_i
     """``doc_id, text, held_out, score, n_passages`` of every whole text.
 
     A null or empty text is one empty passage and has a score too. A null id is never held
-    out. Rows that repeat stay; an empty table gives an empty result.
+    out. Rows that repeat and texts that tie stay as they are: a score depends on the text
+    alone. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "quality_text"):
             data, offsets = text_buffer(batch.column("quality_text"))
             value, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
             for a, b in slices(offsets, SLICE):

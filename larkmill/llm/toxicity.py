@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import LOWER, WORD, fold, mix64, prepare, run_hashes, slices, text_buffer, word_runs
+from .common import LOWER, WORD, fold, mix64, parts, prepare, run_hashes, slices, text_buffer, word_runs
 
 BITS = 18
 GRAMS = (3, 4, 5, 6)
-DIM = 4
+DIM = 8
 #: Neutral subwords that every text has besides its own, so that a few odd ones don't decide a short text.
 PADDING = 200
 EPOCHS = 100
@@ -122,7 +122,7 @@ def train(texts: list[str], label: np.ndarray, *, dim=DIM, bits=BITS, epochs=EPO
 
     Buckets found in about as many texts of either class (a z below the least) are pruned:
     their vectors stay zero, though they count in the mean. The others start along one
-    direction, in proportion to z. Of the values in ``least_z`` the one stays that parts the
+    direction, in proportion to z, beside noise in all. Of the values in ``least_z`` the one stays that parts the
     held-back fifth with the smallest mean error of the classes. Without texts of both classes
     every score is that of class 0 (or 1, if only that was seen).
     """
@@ -178,7 +178,7 @@ def _joint(doc, column, share, label, fit, used, z, least, dim, bits, epochs, ra
     column_rows = np.searchsorted(column[order], np.arange(len(used) + 1))
     line = rng.standard_normal(dim)
     line /= np.linalg.norm(line)
-    vectors = (np.sign(z[used]) * (np.abs(z[used]) - least + 0.1) / 10)[:, None] * line + rng.standard_normal((len(used), dim)) * 1e-3
+    vectors = (np.sign(z[used]) * (np.abs(z[used]) - least + 0.1) / 10)[:, None] * line + rng.standard_normal((len(used), dim)) * 0.02
     vectors, out, bias = vectors.astype(np.float32), np.stack([-line, line], axis=1).astype(np.float32), np.zeros(2, np.float32)
     balance = (np.where(label == 1, 0.5 / (label[fit] == 1).sum(), 0.5 / (label[fit] == 0).sum()) * fit)[:, None]
     params = [vectors, out, bias]
@@ -216,14 +216,15 @@ def score(docs: DataFrame, model: Model, *, modulus=5, held_out=0, doc_id="doc_i
     """``doc_id, text, held_out, score`` of every whole text.
 
     A null or empty text, or one without words, gets the score of the bias alone. A null id
-    is never held out. Rows that repeat stay; an empty table gives an empty result.
+    is never held out. Rows that repeat and texts that tie stay as they are: a score depends on
+    the text alone. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "toxic_text"):
             data, offsets = text_buffer(batch.column("toxic_text"))
             value = 1 / (1 + np.exp(-np.clip(held.value.logits(data, offsets), -60, 60)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(value, pa.float64())], ["doc_id", "text", "held_out", "score"])
@@ -239,7 +240,7 @@ def kept(docs: DataFrame, model: Model, *, text="text", below=0.5) -> DataFrame:
     held, place = spark.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, place):
             value = 1 / (1 + np.exp(-np.clip(held.value.logits(*text_buffer(batch.column(place))), -60, 60)))
             yield batch.filter(pa.array(value < below))
 

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from larkmill.llm import labelled as labelled_rows
 from larkmill.llm import lm_scores, quality, toxicity, urls
 from larkmill.llm.common import text_buffer
 
@@ -91,6 +92,64 @@ def test_score_contract(spark, docs_of, operator, target, modulus, held):
     assert [r["held_out"] for r in operator.score(no_id, model).collect()] == [False]
 
 
+def test_samples_are_bounded_and_leave_out_no_length(spark, docs_of):
+    long = " ".join(f"w{k}" for k in range(50_000))
+    docs = docs_of([long, "a", "b", "c", "c", "d"], [1, 2, 3, 4, 4, 6])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0), (4, 0), (4, 0), (6, None), (None, 1)], "doc_id long, toxic int")
+    rows = labelled_rows.sample(docs, labels, "toxic", 1000, 999, longest=5000)
+    assert sorted((t[:3], n) for t, n in zip(rows["text"], rows["label"])) == [("a", 0), ("c", 0), ("w0 ", 1)]
+    (text,) = rows["text"][rows["label"] == 1]
+    assert 3000 < len(text) <= 5000 and text.endswith("w49999") and {w[:2] for w in text.split()} == {f"w{k}" for k in range(10)}
+    assert len(labelled_rows.sample(docs, labels, "toxic", 1000, 999, per_class=1)) == 2
+
+
+def brute_logit(text, model):
+    """A toxicity logit from the definition: the mean of its subwords' numbers, with neutral ones."""
+    total, n = 0.0, 0
+    for w in brute.words(text):
+        marked = np.frombuffer(b"\1" + w + b"\1", np.uint8)
+        grams = [toxicity.run_hashes(marked, np.array([0]), np.array([len(marked)]))[0]]
+        for g in toxicity.GRAMS:
+            for k in range(len(marked) - g + 1):
+                value = int(marked[k])
+                for c in marked[k + 1 : k + g]:
+                    value = (value * 0x100000001B3 + int(c) + 7) % 2**64
+                grams.append(toxicity.mix64(np.array([(value + g) % 2**64], np.uint64))[0])
+        total += sum(float(model.weights[int(h) >> (64 - toxicity.BITS)]) for h in grams)
+        n += len(grams)
+    return total / (n + toxicity.PADDING) + model.bias
+
+
+def test_toxicity_scores_by_brute_force():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.standard_normal(1 << toxicity.BITS).astype(np.float32), -0.25)
+    texts = ["", "One two, THREE!", "schön über 42", "a", None, "word " * 30 + "mis-spelled w0rds"]
+    assert np.allclose(logits(model, texts), [brute_logit(t, model) for t in texts], atol=1e-4)
+
+
+def test_quality_scores_by_brute_force():
+    """Attention and classifier by plain loops over passages of 64 words."""
+    rng = np.random.default_rng(2)
+    width = (1 << quality.TRIGRAM_BITS) + quality._STATS
+    shapes = ((width, 24), (24,), (24, 12), (24, 12), (12,), (24,), (1,))
+    model = quality.Model(rng.standard_normal(width), 1 + rng.random(width), [rng.standard_normal(s) * 0.3 for s in shapes], 0.4)
+    texts = ["", "a b c", "Word 12 word! " * 50, " ".join(f"w{k}" for k in range(200))]
+    data, offsets = text_buffer(pa.array(texts))
+    got = model.logits(*quality.passages(data, offsets))
+    encode, shift, v, u, w, out, bias = model.params
+    for k, t in enumerate(texts):
+        words = t.split()
+        hs = []
+        for a in range(0, max(1, len(words)), 64):
+            own, first = quality.passages(*text_buffer(pa.array([" ".join(words[a : a + 64])])))
+            assert len(own) == 1
+            hs.append(np.maximum((own[0] - model.mean) / model.spread @ encode + shift, 0))
+        score = [float((np.tanh(h @ v) / (1 + np.exp(-(h @ u)))) @ w) for h in hs]
+        weight = np.exp(np.array(score) - max(score))
+        pooled = sum(x * h for x, h in zip(weight / weight.sum(), hs))
+        assert abs(got[k] - (pooled @ out + bias[0] - 0.4)) < 1e-3
+
+
 def test_toxic_rows_go_whole(spark, docs_of):
     docs = docs_of(["fine words here", "bad bad bad", None])
     weights = np.zeros(1 << toxicity.BITS, np.float32)
