@@ -58,6 +58,11 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return back
 
 
+def again(table: DataFrame) -> DataFrame:
+    """A table of :func:`materialize` as another relation, to be met by one made of itself."""
+    return table.sparkSession.read.schema(table.schema).parquet(table._larkmill_path)
+
+
 def _tables(spark: SparkSession) -> list[str]:
     return spark.sparkContext.__dict__.setdefault("_larkmill_tables", [])
 
@@ -76,10 +81,18 @@ def release(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far; results that were not stored can't be read afterwards."""
-    while held := _tables(spark):
-        _delete(spark, held.pop())
+def discard(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the intermediate tables written after the first ``since``, but for ``keep``; results that were not stored can't be read afterwards."""
+    kept = getattr(keep, "_larkmill_path", None)
+    held = _tables(spark)
+    for path in [p for p in held[since:] if p != kept]:
+        held.remove(path)
+        _delete(spark, path)
+
+
+def written(spark: SparkSession) -> int:
+    """How many intermediate tables there are."""
+    return len(_tables(spark))
 
 
 def tidy(spark: SparkSession) -> None:

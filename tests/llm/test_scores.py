@@ -203,24 +203,90 @@ def test_base_scores(spark, docs_of):
     assert lm_scores.score(docs_of(["a", "a"], [None, 5])).count() == 2
 
 
-def test_mixing_is_a_probability_and_learns():
-    train = ["the cat sat on the mat. " * 30, "a dog ran to the park. " * 30]
+def small_model(train):
+    """A model of a few texts, learned as the operator does."""
     held = lm_scores._Windows()
-    held.add(*text_buffer(pa.array(train)))
-    key, count = held.take()
+    data, offsets = text_buffer(pa.array(train))
+    held.add(data, offsets)
     model = lm_scores.untrained()
-    tables = [np.zeros(2 << b, np.uint32) for b in lm_scores.BITS]
-    lm_scores._count_bits(tables, key, count)
-    for order, t in enumerate(tables):
-        c = t.reshape(-1, 2).astype(float)
-        model.stretch[order][:] = np.where(c.sum(1) > 0, np.log((c[:, 1] + 0.2) / (c[:, 0] + 0.2)), 0).astype(np.float16)
-        model.sure[order][:] = np.minimum(15, np.ceil(np.log2(c.sum(1) + 1)))
-    before = (model.costs(key) * count).sum()
-    model.learn(key, count)
-    assert (model.costs(key) * count).sum() > before
-    # the costs of all 256 next bytes after a context sum to one
+    counts = [np.zeros(2 << b, np.uint32) for b in model.bits]
+    lm_scores._count_bits(counts, *held.take(), model.bits)
+    for order, c in enumerate(counts):
+        model.stretch[order][:], model.sure[order][:] = lm_scores._stretched(*c.reshape(-1, 2).T.astype(float))
+    return model, lm_scores.windows(data, offsets)[0], counts
+
+
+def text_scores(model, texts):
+    key, at = lm_scores.windows(*text_buffer(pa.array(texts)))
+    return lm_scores.along(model.inputs(key), key, at)
+
+
+def brute_score(model, text):
+    """One text, bit after bit, by the definition."""
+    raw = text.encode().translate(brute.LOWER) + b"\0"
+    weights, total = np.array([0.5, 0.5, 0.0]), 0.0
+    for begin in range(0, len(raw), lm_scores.RENEW):
+        block, step = raw[begin : begin + lm_scores.RENEW], np.zeros(3)
+        for i, byte in enumerate(block, begin):
+            for j in range(8):
+                node, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
+                x, gate = [], j
+                for order in range(1, 6):
+                    context = int.from_bytes(raw[max(0, i - order) : i], "big")
+                    value = np.array([(context << 8) | node], np.uint64)
+                    s = int(value[0]) if order == 1 else int(lm_scores.mix64(value + np.uint64(order))[0]) >> (64 - model.bits[order - 1])
+                    x.append(float(model.stretch[order - 1][s]))
+                    if order >= 3:
+                        gate = gate * 4 + int(lm_scores._GATE[model.sure[order - 1][s]])
+                z = float(np.clip((model.weights[gate] * np.array([*x, 0.3], np.float32)).sum(), -12, 12))
+                place = (np.clip(z, -7.99, 7.99) + 8) * 2
+                low, row = int(place), ((raw[i - 1] if i else 0) << 8) | node
+                p = model.refined[row, low] * (1 - (place - low)) + model.refined[row, low + 1] * (place - low)
+                p = float(np.clip(p, 2e-5, 1 - 2e-5))
+                inputs = np.clip(np.rint(np.array([z, math.log(p / (1 - p)), x[1]]) * 10), -120, 120) / 10
+                p = float(np.clip(1 / (1 + math.exp(-np.clip(weights @ inputs, -12, 12))), 2e-5, 1 - 2e-5))
+                total += math.log10(p if bit else 1 - p)
+                step += (bit - p) * inputs
+        weights = weights + lm_scores.RATE * step / len(block)
+    return total
+
+
+def test_mixing_learns_and_is_the_definition():
+    train = ["the cat sat on the mat. " * 30, "a dog ran to the park. " * 30, "Der Hund lief schnell. " * 12]
+    model, key, counts = small_model(train)
+    model.learn(key, counts)
+    texts = ["", "the cat ran to the park", "zebra \u00e9t\u00e9 42!", "a dog sat on the mat. " * 20, "the " * 300]
+    got = text_scores(model, texts)
+    assert np.allclose(got, [brute_score(model, t) for t in texts], rtol=2e-3)
+    assert np.allclose(got, [text_scores(model, [t])[0] for t in texts])  # a text's score doesn't depend on its neighbours
+    # the probabilities of all 256 next bytes after a context sum to one, whatever the last mixer's weights
     for context in (b"the c", b"zzzzz", b"\0\0\0\0\0"):
         keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert abs((10 ** model.costs(keys)).sum() - 1) < 1e-6
+        x = model.inputs(keys).astype(float) / 10
+        p = 1 / (1 + np.exp(-np.clip(np.einsum("i,kij->kj", [0.7, 0.4, -0.1], x), -12, 12)))
+        bits = (np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1
+        assert abs(np.where(bits == 1, p, 1 - p).prod(axis=1).sum() - 1) < 1e-6
     cached = lm_scores._Remembered(model)
-    assert np.allclose(cached(key), model.costs(key)) and np.allclose(cached(key), model.costs(key))
+    assert np.array_equal(cached(key), model.inputs(key)) and np.array_equal(cached(key), model.inputs(key))
+
+
+def test_learned_weights_help_on_other_texts():
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"].dropna().tolist()
+    model, key, counts = small_model(texts[:400])
+    before = text_scores(model, texts[400:480]).sum()
+    model.learn(key[: 1 << 18], counts)
+    assert text_scores(model, texts[400:480]).sum() > 0.97 * before  # log probabilities: nearer to zero
+
+
+def test_every_training_text_is_counted(spark, docs_of):
+    """Long texts too: what follows a context that one long text alone has is known to the model."""
+    long = "xq" * 200_000
+    texts = [f"plain words number {k}" for k in range(30)] + [long]
+    docs = docs_of(texts, [k for k in range(200) if brute.fold(k, 7) != 2][:31])
+    model = lm_scores.fit(docs.selectExpr("doc_id as lm_id", "text as lm_text", "true as lm_training"), sum(map(len, texts)))
+    with_long = text_scores(model, ["xqxqxqxq" * 20])[0]
+    other = lm_scores.fit(docs.limit(30).selectExpr("doc_id as lm_id", "text as lm_text", "true as lm_training"), sum(map(len, texts)))
+    assert with_long > text_scores(other, ["xqxqxqxq" * 20])[0] / 3
+    key, _ = lm_scores.windows(*text_buffer(pa.array(texts)))
+    counted = next(r for r in docs.selectExpr("text").repartition(3).mapInArrow(lm_scores._counted((16, 18, 19, 20, 20)), lm_scores._BLOCKS).groupBy("block").agg({"part": "count"}).collect())
+    assert counted and lm_scores.bits_for(10) == lm_scores.LEAST_BITS and lm_scores.bits_for(1 << 50) == lm_scores.MOST_BITS
