@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkmill.llm import decontaminate, neardup, packing, secrets, toxicity
-from larkmill.llm.common import materialize
+from larkmill.llm.common import discard, materialize, written
 from larkmill.llm.queries import table
 
 
@@ -35,17 +35,21 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a window of a benchmark item go."""
+    """Documents that contain a window of a benchmark item go, whatever their id; null texts contain none, rows that repeat are treated alike."""
     return decontaminate.kept(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, with or without an id, as often as it occurs."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' pieces, with the place of each in a training sequence."""
+    """The kept documents' pieces, with the place of each in a training sequence.
+
+    Documents without an id are packed too; of pieces of one length, which have one place to
+    choose from, the order is that of a hash.
+    """
     return packing.digest(packing.pack(docs, with_ids=False))
 
 
@@ -59,9 +63,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, before, docs)  # what the stage has written besides
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
