@@ -13,6 +13,7 @@ Rules every operator here keeps:
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 import zlib
@@ -217,9 +218,16 @@ def prime_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return (sums[ends] - sums[starts]) % _PRIME * down[starts] % _PRIME
 
 
+#: From this length on there are known pairs of inputs that a polynomial modulo 2**64 can't tell apart.
+_LONG_RUN = 512
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte run, from two polynomials of which one is modulo a prime: no input breaks both."""
-    return mix64(run_hashes(data, starts, ends) ^ (prime_hashes(data, starts, ends) << np.uint64(29)))
+    """64-bit hash of each byte run; of long ones a cryptographic digest, so that no well-known input breaks it."""
+    out = run_hashes(data, starts, ends)
+    for k in np.flatnonzero(ends - starts >= _LONG_RUN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_runs(data: np.ndarray, is_word: np.ndarray, offsets: np.ndarray):

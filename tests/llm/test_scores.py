@@ -218,15 +218,15 @@ def small_model(train):
 
 def text_scores(model, texts):
     key, at = lm_scores.windows(*text_buffer(pa.array(texts)))
-    return lm_scores.along(model.inputs(key), key, at)
+    return lm_scores.along(model.costs(key), at)
 
 
 def brute_score(model, text):
     """One text, bit after bit, by the definition."""
     raw = text.encode().translate(brute.LOWER) + b"\0"
-    weights, total = np.array([0.5, 0.5, 0.0]), 0.0
+    share, total = np.full(len(lm_scores.WAYS), 1 / len(lm_scores.WAYS)), 0.0
     for begin in range(0, len(raw), lm_scores.RENEW):
-        block, step = raw[begin : begin + lm_scores.RENEW], np.zeros(3)
+        block, likely = raw[begin : begin + lm_scores.RENEW], share.copy()
         for i, byte in enumerate(block, begin):
             for j in range(8):
                 node, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
@@ -243,11 +243,11 @@ def brute_score(model, text):
                 low, row = int(place), ((raw[i - 1] if i else 0) << 8) | node
                 p = model.refined[row, low] * (1 - (place - low)) + model.refined[row, low + 1] * (place - low)
                 p = float(np.clip(p, 2e-5, 1 - 2e-5))
-                inputs = np.clip(np.rint(np.array([z, math.log(p / (1 - p)), x[1]]) * 10), -120, 120) / 10
-                p = float(np.clip(1 / (1 + math.exp(-np.clip(weights @ inputs, -12, 12))), 2e-5, 1 - 2e-5))
-                total += math.log10(p if bit else 1 - p)
-                step += (bit - p) * inputs
-        weights = weights + lm_scores.RATE * step / len(block)
+                mixed = lm_scores.WAYS @ np.array([z, math.log(p / (1 - p)), x[1]])
+                p = np.clip(1 / (1 + np.exp(-np.clip(mixed, -12, 12))), 2e-5, 1 - 2e-5)
+                likely = likely * (p if bit else 1 - p)
+        total += math.log10(likely.sum())
+        share = (1 - lm_scores.EVEN) * likely / likely.sum() + lm_scores.EVEN / len(share)
     return total
 
 
@@ -259,15 +259,12 @@ def test_mixing_learns_and_is_the_definition():
     got = text_scores(model, texts)
     assert np.allclose(got, [brute_score(model, t) for t in texts], rtol=2e-3)
     assert np.allclose(got, [text_scores(model, [t])[0] for t in texts])  # a text's score doesn't depend on its neighbours
-    # the probabilities of all 256 next bytes after a context sum to one, whatever the last mixer's weights
+    # the probabilities of all 256 next bytes after a context sum to one, by every way
     for context in (b"the c", b"zzzzz", b"\0\0\0\0\0"):
         keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        x = model.inputs(keys).astype(float) / 10
-        p = 1 / (1 + np.exp(-np.clip(np.einsum("i,kij->kj", [0.7, 0.4, -0.1], x), -12, 12)))
-        bits = (np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1
-        assert abs(np.where(bits == 1, p, 1 - p).prod(axis=1).sum() - 1) < 1e-6
+        assert np.allclose((10 ** model.costs(keys)).sum(axis=0), 1)
     cached = lm_scores._Remembered(model)
-    assert np.array_equal(cached(key), model.inputs(key)) and np.array_equal(cached(key), model.inputs(key))
+    assert np.allclose(cached(key), model.costs(key), rtol=2e-3, atol=1e-4) and np.array_equal(cached(key), cached(key))
 
 
 def test_learned_weights_help_on_other_texts():
