@@ -42,8 +42,10 @@ def cents(column: str) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """A sum of whole numbers that can't overflow a long."""
-    return F.sum(value.cast("decimal(18,0)")).cast("double")
+    """A sum of whole numbers that can't overflow a long: of their upper and lower parts, put together once."""
+    whole = value.cast("long")
+    upper, lower = F.sum(F.shiftright(whole, 24)), F.sum(whole.bitwiseAND((1 << 24) - 1))
+    return (upper.cast("decimal(28,0)") * F.lit(1 << 24).cast("decimal(8,0)") + lower.cast("decimal(28,0)")).cast("double")
 
 
 def supply_cost(part: str, supplier: str) -> Column:

@@ -42,6 +42,14 @@ def combine(*hashes: Column) -> Column:
 SCHEMES = {"murmur": murmur, "xxhash": xx, "crc32": crc}
 
 
+def scheme_report(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """How each scheme spreads the distinct keys: ``scheme, keys, used`` buckets and the ``fullest`` one."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    schemes = F.array(*(F.struct(F.lit(name).alias("scheme"), bucket(hashed(key), buckets).alias("bucket")) for name, hashed in sorted(SCHEMES.items())))
+    loads = keys.select(F.explode(schemes).alias("s")).groupBy("s.scheme", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
+    return loads.groupBy("scheme").agg(F.sum("n").alias("keys"), F.count(F.lit(1)).alias("used"), F.max("n").alias("fullest"))
+
+
 def occupancy(df: DataFrame, bucket_column: Column) -> DataFrame:
     """How full the buckets of a hash table would be: ``load, buckets, keys``."""
     loads = df.groupBy(bucket_column.alias("bucket")).agg(F.count(F.lit(1)).alias("load"))

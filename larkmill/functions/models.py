@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A sample has about this share of the keys, at least LEAST_SAMPLE and at most MOST_SAMPLE of them.
-SAMPLE_RATE, LEAST_SAMPLE, MOST_SAMPLE = 0.01, 10_000, 200_000
+#: Rows that a model is trained on, at most.
+SAMPLE = 20_000
 LEAVES = 1000
 
 
@@ -43,8 +43,8 @@ class CdfModel:
     def cdf(self, keys) -> np.ndarray:
         keys = np.asarray(keys, np.float64)
         k = self.leaf(keys)
-        width = np.maximum(self.last[k] - self.first[k], 1e-300)
-        part = np.where(self.last[k] > self.first[k], np.clip((keys - self.first[k]) / width, 0, 1), 0.0)
+        width = self.last[k] - self.first[k]
+        part = np.where(width > 0, np.clip((keys - self.first[k]) / np.where(width > 0, width, 1), 0, 1), 0.0)
         return self.low[k] + part * (self.high[k] - self.low[k])
 
     def bucket(self, keys, buckets: int) -> np.ndarray:
@@ -66,11 +66,16 @@ class CdfModel:
         value = F.col(key).cast("double")
         leaf = F.rint((value - self.least) / width * (self.leaves - 1))
         leaf = F.greatest(F.lit(0), F.least(F.lit(self.leaves - 1), leaf)).cast("int") + 1
-        first, last, low, high = (F.element_at(F.lit(a.tolist()), leaf) for a in (self.first, self.last, self.low, self.high))
+        first, last, low, high = (F.element_at(constant(a.tolist()), leaf) for a in (self.first, self.last, self.low, self.high))
         part = F.when(last > first, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - first) / (last - first)))).otherwise(0.0)
         return _or_zero(key, F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((low + part * (high - low)) * buckets))))
 
 
+def constant(numbers: list[float]) -> Column:
+    """An array of doubles as one literal, which the planner folds once: thousands of single literals take a second to build."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>") if numbers else F.array().cast("array<double>")
+
+
 def _or_zero(key: str, bucket: Column) -> Column:
     """The bucket; 0 for a null key (greatest and least would pass over the null)."""
     return F.when(F.col(key).isNull(), F.lit(0)).otherwise(bucket).cast("int")
@@ -95,16 +100,19 @@ def train(sample, leaves: int = LEAVES) -> CdfModel:
     return model
 
 
-def sample_keys(df: DataFrame, key: str, *, rate=SAMPLE_RATE, least=LEAST_SAMPLE, most=MOST_SAMPLE) -> np.ndarray:
-    """A sample that depends on the keys alone, not on partitions: those whose hash falls below a limit."""
-    keys = df.select(F.col(key).cast("double").alias("k"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h")).where("k is not null")
-    n = keys.count()
-    want = min(most, max(least, int(n * rate)))
-    limit = (1 << 30) if n <= want else int((1 << 30) * want / n)
-    # equal keys have equal hashes: a heavy key comes with all its rows, so its rows are counted, not sent
-    rows = keys.where(F.col("h") < limit).groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("k")).limit(2 * most).toPandas()
-    weight = np.minimum(rows["n"].to_numpy(np.int64), max(1, 4 * most // max(1, len(rows))))
-    return np.repeat(rows["k"].to_numpy(np.float64), weight)
+def _drawn(keys: DataFrame, most: int) -> np.ndarray:
+    drawn = F.xxhash64("k", F.monotonically_increasing_id())
+    return keys.where("k is not null").select("k", drawn.alias("h")).orderBy("h").limit(most).select("k").toPandas()["k"].to_numpy(np.float64)
+
+
+def sample_keys(df: DataFrame, key: str, most: int = SAMPLE) -> np.ndarray:
+    """At most ``most`` keys in one pass, every row alike: each partition keeps its rows with the least hashes."""
+    return _drawn(df.select(F.col(key).cast("double").alias("k")), most)
+
+
+def sample_pair(left: DataFrame, right: DataFrame, key: str, most: int = SAMPLE) -> np.ndarray:
+    """One sample of the rows of two sides, in one pass."""
+    return _drawn(left.select(F.col(key).cast("double").alias("k")).unionAll(right.select(F.col(key).cast("double").alias("k"))), most)
 
 
 def fit(df: DataFrame, key: str, leaves: int = LEAVES, **options) -> CdfModel:
@@ -113,7 +121,7 @@ def fit(df: DataFrame, key: str, leaves: int = LEAVES, **options) -> CdfModel:
 
 def fit_pair(left: DataFrame, right: DataFrame, key: str, leaves: int = LEAVES, **options) -> CdfModel:
     """One model for both sides of a join."""
-    return train(np.concatenate([sample_keys(left, key, **options), sample_keys(right, key, **options)]), leaves)
+    return train(sample_pair(left, right, key, **options), leaves)
 
 
 @dataclass
@@ -135,7 +143,7 @@ class SplineModel:
             return F.lit(0)
         levels = np.arange(1, buckets) / buckets
         bounds = np.interp(levels, self.levels, self.keys)
-        above = F.filter(F.lit(bounds.tolist()), lambda b: b <= F.col(key).cast("double"))
+        above = F.filter(constant(bounds.tolist()), lambda b: b <= F.col(key).cast("double"))
         return _or_zero(key, F.size(above))
 
 

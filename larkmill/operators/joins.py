@@ -7,6 +7,7 @@ side first and falls back to a shuffle beyond ``BROADCAST_BYTES``.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 16
 #: A key is heavy if it has more than this share of a partition's fair share of rows.
 HEAVY_SHARE = 4.0
+#: Heavy keys of a range join that are treated apart, at most.
+HEAVY_RANGES = 16
 #: Heavy keys that are treated apart, at most; further ones are joined as usual.
 HEAVY_KEYS = 1000
 
@@ -49,16 +52,14 @@ def equi_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     if strategy == "radix":
         return radix_join(left, right, on, how, **options)
     if strategy == "range":
-        n = options.get("partitions") or partitions(left.sparkSession)
-        return left.repartitionByRange(n, *on).join(right.hint("merge"), on, how)
+        return range_join(left, right, on, how, **options)
     if strategy == "salted":
         return salted_join(left, right, on, how, **options)
     if strategy in ("learned_hash", "learned_two_level"):
         return learned_hash_join(left, right, on, how, two_level=strategy == "learned_two_level", **options)
     if strategy == "learned_spline":
         key, = on
-        sample = [models.sample_keys(side, key) for side in (left, right)]
-        spline = models.train_spline([k for part in sample for k in part.tolist()])
+        spline = models.train_spline(models.sample_pair(left, right, key))
         return learned_hash_join(left, right, on, how, two_level=True, model=spline, **options)
     if strategy == "learned_partitioned":
         return learned_partitioned_join(left, right, on, how, **options)
@@ -66,9 +67,65 @@ def equi_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
 
 
 def radix_join(left, right, on, how="inner", bits: int = 6, passes: int = 1):
-    """Both sides partitioned by their keys' hash into 2**(bits*passes) parts, which are joined by hash tables."""
-    n = 1 << (bits * passes)
-    return left.repartition(n, *on).join(right.repartition(n, *on).hint("shuffle_hash"), on, how)
+    """Both sides dealt to 2**bits parts by the lowest bits of their keys' hash, which are joined by hash tables.
+
+    With two passes each part is clustered by the next bits, and joined cluster by cluster.
+    """
+    n = 1 << bits
+    if passes == 1:
+        return left.repartition(n, *on).join(right.repartition(n, *on).hint("shuffle_hash"), on, how)
+    if passes != 2:
+        raise ValueError(f"passes: {passes}")
+    hashed = F.xxhash64(*on)
+
+    def clustered(df):
+        df = df.dropna(subset=on)
+        placed = df.withColumn("radix_part", F.pmod(hashed, F.lit(n)).cast("int")).withColumn("radix_cluster", F.pmod(F.shiftright(hashed, bits), F.lit(n)).cast("int"))
+        return placed.repartitionById(n, "radix_part")
+
+    return clustered(left).join(clustered(right).hint("merge"), ["radix_part", "radix_cluster", *on], how).drop("radix_part", "radix_cluster")
+
+
+def equi_depth(left, right, key: str, parts: int) -> tuple[list[float], list[float]]:
+    """Bounds between ``parts`` ranges of about equally many rows of both sides, and the keys that fill more than one range."""
+    sample = np.sort(models.sample_pair(left, right, key))
+    if not len(sample):
+        return [], []
+    bounds = sample[(np.arange(1, parts) * len(sample)) // parts]
+    value, times = np.unique(sample, return_counts=True)
+    heavy = value[times > 2 * len(sample) / parts]
+    return np.unique(bounds).tolist(), heavy[np.argsort(-times[times > 2 * len(sample) / parts], kind="stable")][:HEAVY_RANGES].tolist()
+
+
+def range_of(key: str, bounds: list[float]) -> Column:
+    """The range of a key: how many bounds are not above it. Every 32nd bound is looked at first, then the 32 from there."""
+    if not bounds:
+        return F.lit(0)
+    value, every = F.col(key).cast("double"), models.constant(bounds)
+    coarse = F.size(F.filter(models.constant(bounds[31::32]), lambda b: b <= value)) * 32 if len(bounds) > 32 else F.lit(0)
+    fine = F.size(F.filter(F.slice(every, coarse + 1, F.lit(32)), lambda b: b <= value))
+    return (coarse + fine).cast("int")
+
+
+def range_join(left, right, on, how="inner", parts: int | None = None, salts: int = SALTS):
+    """Both sides go to the same equi-depth ranges of the key, one shuffle each, are sorted there and merged.
+
+    Bounds come from one sample of both sides. Rows of ``left`` with a key that fills more than
+    one range by itself are dealt to ``salts`` parts, and those of ``right`` repeated there.
+    """
+    key = on[0]
+    parts = parts or partitions(left.sparkSession)
+    bounds, heavy = equi_depth(left, right, key, parts)
+    is_heavy = F.col(key).cast("double").isin(heavy) if heavy else F.lit(False)
+
+    def placed(df, salt: Column):
+        rows = df.dropna(subset=on).withColumn("range_salt", salt).withColumn("range_no", range_of(key, bounds))
+        # the salts of one range lie apart
+        return rows.withColumn("range_part", F.pmod(F.col("range_no") + F.col("range_salt") * F.lit(max(1, parts // salts)), F.lit(parts)).cast("int")).drop("range_no").repartitionById(parts, "range_part")
+
+    dealt = F.when(is_heavy, F.pmod(F.xxhash64(*left.columns, F.lit(1)), F.lit(salts))).otherwise(0).cast("int")
+    repeated = F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))) if heavy else F.lit(0)
+    return placed(left, dealt).join(placed(right, repeated).hint("merge"), ["range_part", "range_salt", *on], how).drop("range_part", "range_salt")
 
 
 def heavy_keys(df: DataFrame, on: list[str], parts: int, share: float = HEAVY_SHARE, limit: int = HEAVY_KEYS) -> DataFrame:
@@ -83,7 +140,8 @@ def salted_join(left, right, on, how="inner", salts: int = SALTS, parts: int | N
     parts = parts or partitions(left.sparkSession)
     heavy = F.broadcast(heavy_keys(left, on, parts, share).withColumn("is_heavy", F.lit(True)))
     rows = left.join(heavy, on, "left")
-    spread = F.when(F.col("is_heavy"), F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), F.lit(salts))).otherwise(0).cast("int")
+    # by the row's own columns: a task that runs again deals them alike (rows that are equal in all columns stay together)
+    spread = F.when(F.col("is_heavy"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(0).cast("int")
     rows = rows.withColumn("salt", spread).drop("is_heavy")
     copies = F.when(F.col("is_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(heavy, on, "left").withColumn("salt", F.explode(copies)).drop("is_heavy")

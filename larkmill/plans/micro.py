@@ -222,21 +222,162 @@ def gen_foreign(c):
     return generators.foreign_keys(c.spark, 1000, 100).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("gen_holes")
+def _facts(df, **facts):
+    return df.agg(*(f.alias(n) for n, f in facts.items()))
+
+
+@query("gen_holes", "SELECT 10000 AS n, 10000 AS kinds, true AS inside, true AS holes_everywhere")
 def gen_holes(c):
-    return generators.sequential_with_holes(c.spark, 10000, 5)
+    keys = generators.sequential_with_holes(c.spark, 10000, 5)
+    by_block = F.countDistinct(F.expr("(key - 1) div 11")) == 1000
+    return _facts(keys, n=F.count(F.lit(1)), kinds=F.countDistinct("key"), inside=(F.min("key") >= 1) & (F.max("key") <= 11000), holes_everywhere=by_block)
 
 
-@query("gen_zipf")
+@query("gen_zipf", "SELECT 10000 AS n, true AS inside, true AS skewed")
 def gen_zipf(c):
-    return generators.zipf(c.spark, 10000, 5000, 1.1, 7).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = generators.zipf(c.spark, 10000, 5000, 1.1, 7).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return _facts(counts, n=F.sum("n"), inside=(F.min("key") >= 1) & (F.max("key") <= 5000), skewed=F.max("n").between(1000, 3000))
 
 
-@query("gen_gapped")
+@query("gen_gapped", "SELECT 10000 AS n, 10000 AS kinds, true AS gaps")
 def gen_gapped(c):
-    return generators.gapped(c.spark, 10000)
+    """One key in ten is skipped."""
+    return _facts(generators.gapped(c.spark, 10000), n=F.count(F.lit(1)), kinds=F.countDistinct("key"), gaps=(F.max("key") - F.min("key")).between(10700, 11300))
+
+
+def _spread(df, low, middle, high):
+    """Whether the quartiles are where the distribution has them, within a twentieth of their distance."""
+    quartiles = F.percentile("key", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    near = F.lit(True)
+    for k, want in enumerate((low, middle, high)):
+        near &= F.abs(quartiles[k] - want) <= (high - low) / 20
+    return _facts(df, n=F.count(F.lit(1)), as_expected=near)
+
+
+_SPREAD = "SELECT 20000 AS n, true AS as_expected"
+query("gen_lognormal", _SPREAD)(lambda c: _spread(generators.lognormal_keys(c.spark, 20000, 0.0, 0.5, 1e6), 1e6 * 0.71372, 1e6, 1e6 * 1.40111))
+query("gen_normal", _SPREAD)(lambda c: _spread(generators.normal_keys(c.spark, 20000, 5000.0, 1000.0), 4325.51, 5000, 5674.49))
+query("gen_uniform", _SPREAD)(lambda c: _spread(generators.uniform_keys(c.spark, 20000, 100, 100100), 25100, 50100, 75100))
+query("gen_exponential", _SPREAD)(lambda c: _spread(generators.exponential_keys(c.spark, 20000, 2.0, 1e6), 143841, 346574, 693147))
+query("gen_wide_uniform", _SPREAD)(lambda c: _spread(generators.wide_uniform(c.spark, 20000), 2.0**38, 2.0**39, 3 * 2.0**38))
+query("gen_wide_normal", _SPREAD)(lambda c: _spread(generators.wide_normal(c.spark, 20000), 2.0**40 * (0.5 - 0.67449 / 6), 2.0**39, 2.0**40 * (0.5 + 0.67449 / 6)))
+
+
+@query("gen_from_keys", "SELECT p_partkey AS key, p_partkey AS payload FROM part")
+def gen_from_keys(c):
+    return generators.from_keys(c.part, "p_partkey")
+
+
+@query("gen_stepped", "SELECT range * 10 + 20000 AS key, range * 10 + 20000 AS payload FROM range(5000)")
+def gen_stepped(c):
+    return generators.stepped(c.spark, 5000)
+
+
+@query("gen_window", "SELECT o_orderkey - 100 AS key, o_custkey AS payload FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 5000")
+def gen_window(c):
+    return generators.window_of(c.orders.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("payload")), 100, 5000)
+
+
+@query("gen_foreign_of", "SELECT 20000 AS n, 0 AS strangers")
+def gen_foreign_of(c):
+    """Every drawn key is one of the given ones."""
+    drawn = generators.foreign_keys_of(generators.from_keys(c.part, "p_partkey"), 20000, 3)
+    known = c.part.select(F.col("p_partkey").alias("key"), F.lit(1).alias("known"))
+    return _facts(drawn.join(known, "key", "left"), n=F.count(F.lit(1)), strangers=F.count(F.when(F.col("known").isNull(), 1)))
+
+
+@query("gen_non_unique", "SELECT 20000 AS n, 50 AS kinds, 1 AS least, 50 AS greatest")
+def gen_non_unique(c):
+    return _facts(generators.non_unique(c.spark, 20000, 50, 9), n=F.count(F.lit(1)), kinds=F.countDistinct("key"), least=F.min("key"), greatest=F.max("key"))
+
+
+@query("gen_downsampled", "SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS slot FROM (SELECT DISTINCT o_custkey AS key FROM orders)) WHERE slot % 7 = 0")
+def gen_downsampled(c):
+    return generators.downsampled(c.orders.select(F.col("o_custkey").alias("key")), 7)
+
+
+# hashes of keys
+@query("hash_multiplicative", "SELECT o_orderkey, CAST((((o_orderkey & 2147483647) * 1103515245) & 2147483647) >> 15 AS INT) AS bucket FROM orders")
+def hash_multiplicative(c):
+    return c.orders.select("o_orderkey", hashing.multiplicative("o_orderkey").alias("bucket"))
+
+
+@query("hash_schemes", "SELECT s.scheme, (SELECT count(DISTINCT o_orderkey) FROM orders) AS keys, 64 AS used, true AS even FROM (VALUES ('crc32'), ('murmur'), ('xxhash')) s(scheme)")
+def hash_schemes(c):
+    """Every scheme uses all buckets, none with over twice its share."""
+    return hashing.scheme_report(c.orders, "o_orderkey").select("scheme", "keys", "used", (F.col("fullest") * 64 <= F.col("keys") * 2).alias("even"))
+
+
+@query("hash_combined", "SELECT (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) AS kinds")
+def hash_combined(c):
+    """Two columns' combined hash tells their pairs apart, order included."""
+    return c.lineitem.select(hashing.combine(F.col("l_partkey"), F.col("l_suppkey")).alias("h")).agg(F.countDistinct("h").alias("kinds"))
+
+
+# files: what is written and read back
+@query("file_delimited", "SELECT r_regionkey, r_name FROM region")
+def file_delimited(c):
+    from larkmill.session import scratch
+    from larkmill.sources import files
+
+    folder = scratch(c.spark, "delimited")
+    files.write_delimited(c.region.select("r_regionkey", "r_name", F.lit("x").alias("r_comment")), f"{folder}/region.tbl")
+    tables = files.import_tables(c.spark, folder, {"region": files.TPCH["region"]}, cache=f"{folder}/cache", register=False)
+    return tables["region"].select(F.col("r_regionkey").cast(c.region.schema["r_regionkey"].dataType), "r_name")
+
+
+@query("file_star_date", "SELECT DISTINCT CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INT) AS d_datekey, CAST(year(o_orderdate) AS INT) AS d_year FROM orders")
+def file_star_date(c):
+    from larkmill.session import scratch
+    from larkmill.sources import files
+
+    folder = scratch(c.spark, "star")
+    names = [x.split()[0] for x in files.SSB["date"].split(", ")]
+    known = c.date.select("d_datekey", "d_year", "d_yearmonthnum", "d_yearmonth", "d_weeknuminyear")
+    files.write_delimited(known.select(*(F.col(n) if n in known.columns else F.lit(None).cast("string").alias(n) for n in names)), f"{folder}/date.tbl")
+    return files.import_tables(c.spark, folder, {"date": files.SSB["date"]}, register=False)["date"].select("d_datekey", "d_year")
+
+
+@query("file_relation", "SELECT o_orderkey AS key, o_custkey AS payload FROM orders")
+def file_relation(c):
+    from larkmill.session import scratch
+    from larkmill.sources import files
+
+    folder = scratch(c.spark, "relation")
+    files.write_relation(c.orders.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("payload")), folder, 3)
+    return files.read_relation(c.spark, folder)
+
+
+_BINARY = "SELECT {} CAST(range * range * 1000003 AS DOUBLE) AS key, CAST(range * range * 1000003 - 5 AS DOUBLE) AS payload FROM range(2000), range(2) r(twice)"
+
+
+def _binary(c, distinct):
+    from larkmill.session import scratch
+    from larkmill.sources import files
+
+    path = scratch(c.spark, "keys")
+    files.write_bytes(c.spark, path, files.binary_keys([k * k * 1000003 for k in range(2000) for _ in range(2)]))
+    return files.read_binary_keys(c.spark, path, distinct=distinct, split_bytes=4096).select(F.col("key").cast("double"), F.col("payload").cast("double"))
+
+
+query("file_binary_keys", _BINARY.format(""))(lambda c: _binary(c, False))
+query("file_binary_keys_distinct", _BINARY.format("DISTINCT"))(lambda c: _binary(c, True))
+
+
+@query("file_metrics", "SELECT * FROM (VALUES ('a', '1.5'), ('b', '2')) t(name, seconds)")
+def file_metrics(c):
+    import tempfile
+    from pathlib import Path
+
+    from larkmill.sources import files
+
+    path = str(Path(tempfile.mkdtemp(prefix="larkmill-")) / "metrics.csv")  # the driver's own figures
+    files.write_metrics(path, {"name": ["a", "b"], "seconds": ["1.5", "2"]})
+    held = files.read_metrics(path)
+    return c.spark.createDataFrame(list(zip(*held.values())), list(held))
 
 
-@query("gen_lognormal")
-def gen_lognormal(c):
-    return generators.lognormal_keys(c.spark, 10000, 0.0, 2.0, 1000.0)
+@query("join_radix_2pass", _SIDES)
+def join_radix_2pass(c):
+    joined = joins.equi_join(*_sides(c), ["key"], "inner", "radix", bits=3, passes=2)
+    return joined.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("matches"), F.sum("o_custkey").alias("custkeys"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,3 +31,13 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._larkmill_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors share files; only a local session may have none set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="larkmill-")
+    return f"{path}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,30 +86,46 @@ def materialize_keys(df: DataFrame, key: str, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_binary_keys(spark: SparkSession, path: str, *, width: int = 8, distinct: bool = False, payload_shift: int = 5) -> DataFrame:
+#: Bytes of a key file that one task reads.
+SPLIT_BYTES = 64 << 20
+
+
+def read_binary_keys(spark: SparkSession, path: str, *, width: int = 8, distinct: bool = False, payload_shift: int = 5, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Files of a 64-bit count and then little-endian unsigned keys of ``width`` bytes; the payload is key - ``payload_shift``.
 
-    Keys beyond 2**63 - 1 don't fit a long and are read as decimals. ``distinct`` drops repeated keys and sorts.
+    Files are read as records of fixed size, by ranges of bytes, so a file of any size is many
+    tasks' work. Keys are decimals, as those beyond 2**63 - 1 don't fit a long. ``distinct``
+    drops repeated keys and sorts.
     """
-    wide = width == 8
     ship(spark)
-
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column("content").to_pylist():
-                n = int(np.frombuffer(blob, "<u8", 1)[0])
-                keys = np.frombuffer(blob, f"<u{width}", n, 8)
-                for a in range(0, n, 1 << 20):
-                    part = keys[a : a + (1 << 20)]
-                    column = pa.array([int(k) for k in part], pa.decimal128(20, 0)) if wide and part.max(initial=0) >= 1 << 63 else pa.array(part.astype(np.int64)).cast(pa.decimal128(20, 0))
-                    yield pa.RecordBatch.from_arrays([column], ["key"])
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, T.StructType([T.StructField("key", T.DecimalType(20, 0))]))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(conf)
+    files = [f.getPath().toString() for f in system.globStatus(place) for f in (system.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    head = 8 // width  # records that the count takes
+    parts = []
+    for file in sorted(files):
+        lines = spark.sparkContext.newAPIHadoopFile(file, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(width), "mapreduce.input.fileinputformat.split.maxsize": str(split_bytes)})
+        parts.append(lines.filter(lambda r: r[0] >= head * width).map(lambda r: (bytes(r[1]),)))
+    schema = T.StructType([T.StructField("raw", T.BinaryType())])
+    raw = spark.createDataFrame(spark.sparkContext.union(parts) if parts else spark.sparkContext.emptyRDD(), schema)
+    # the bytes from the last to the first, as hexadecimal digits of a number
+    digits = F.concat(*(F.hex(F.substring("raw", k, 1)) for k in range(width, 0, -1)))
+    rows = raw.select(F.conv(digits, 16, 10).cast("decimal(20,0)").alias("key"))
     if distinct:
         rows = rows.distinct().sort("key")
     return rows.withColumn("payload", (F.col("key") - payload_shift).cast("decimal(20,0)"))
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file by Spark's own file systems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(conf).create(place, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def binary_keys(keys, width: int = 8) -> bytes:
     """The content of a binary key file."""
     array = np.asarray(keys, f"<u{width}")

@@ -43,8 +43,10 @@ def unique_dense(spark, n: int, payload: int | None = None) -> DataFrame:
 
 
 def sequential_with_holes(spark, n: int, seed: int = 1) -> DataFrame:
-    """About n of the keys 1..1.1n: one in eleven is missing."""
-    return _relation(_rows(spark, n + n // 10).where(uniform(seed) >= 1 / 11), F.col("id") + 1)
+    """Exactly n of the keys 1..1.1n: of every eleven in a row, one that the seed picks is missing."""
+    rows = _rows(spark, n + n // 10).withColumn("hole", F.pmod(F.xxhash64(F.expr("id div 11"), F.lit(seed)), F.lit(11)))
+    whole = (n + n // 10) // 11 * 11  # fewer than eleven at the end all stay
+    return _relation(rows.where((F.col("id") % 11 != F.col("hole")) | (F.col("id") >= whole)), F.col("id") + 1)
 
 
 def unique_uniform(spark, n: int, seed: int = 1, bits: int = 32) -> DataFrame:

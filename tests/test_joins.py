@@ -1,6 +1,7 @@
 """All strategies agree, on duplicates, nulls, empty sides and one hot key; plans contain what they should."""
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -81,3 +82,31 @@ def test_filters_reach_the_scan(spark):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "LessThan(l_quantity,24.0)" in text and "GreaterThanOrEqual(l_discount,0.045)" in text
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double,l_shipdate:timestamp_ntz>" in text
+
+
+def exchanges(df):
+    import re
+
+    return re.findall(r"Exchange (\w+)\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_range_and_two_pass_radix_joins_shuffle_each_side_once(spark):
+    left, right = spark.range(5000).selectExpr("id % 700 as key", "id as a"), spark.range(900).selectExpr("id as key", "id as b")
+    for strategy, by, options in (("range", "range_part", {"parts": 6}), ("radix", "radix_part", {"bits": 3, "passes": 2})):
+        joined = joins.equi_join(left, right, ["key"], "inner", strategy, **options)
+        found = exchanges(joined)
+        assert len(found) == 2 and all(by in keys for _, keys in found), found
+        assert joined.count() == 5000
+
+
+def test_ranges_ascend_and_a_heavy_key_is_dealt(spark):
+    left = spark.range(20_000).selectExpr("if(id % 3 = 0, 42, id) as key", "id as a")
+    right = spark.range(20_000).selectExpr("id as key", "id * 2 as b")
+    bounds, heavy = joins.equi_depth(left, right, "key", 40)
+    assert bounds == sorted(set(bounds)) and heavy == [42.0]
+    at = {r["key"]: r["at"] for r in right.select("key", joins.range_of("key", bounds).alias("at")).collect()}
+    assert all(v == sum(b <= k for b in bounds) for k, v in list(at.items())[::97])
+    joined = joins.range_join(left, right, ["key"], parts=40)
+    assert joined.count() == 20_000
+    spread = [r["n"] for r in joined.where("key = 42").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(spread) > 8

@@ -60,7 +60,10 @@ def test_degenerate_samples(spark):
         assert models.train(sample).bucket(np.array([1.0, 3.0, 9.0]), 4).tolist() == [0, 0, 0]
 
 
-def test_sample_depends_on_keys_only(spark):
-    df = spark.range(50_000).select((F.col("id") * 7).alias("key"))
-    one, two = (np.sort(models.sample_keys(d, "key", least=500)) for d in (df.repartition(3), df.repartition(7)))
-    assert len(one) and (one == two).all()
+def test_samples_are_bounded_and_even(spark):
+    df = spark.range(50_000).selectExpr("if(id % 2 = 0, 7, id) as key")
+    sample = models.sample_keys(df, "key", 5000)
+    assert len(sample) == 5000 and 0.45 < (sample == 7).mean() < 0.55 and abs(np.median(sample[sample != 7]) - 25_000) < 2500
+    assert len(models.sample_keys(df.limit(0), "key")) == 0
+    both = models.sample_pair(df, spark.range(50_000, 100_000).withColumnRenamed("id", "key"), "key", 5000)
+    assert 0.45 < (both >= 50_000).mean() < 0.55
