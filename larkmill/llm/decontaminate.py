@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, text_bytes
+from .common import materialize, parts, prepare, text_bytes
 
 WINDOW = 10
 #: UTF-8 bytes of item texts that one broadcast block may hold.
@@ -87,6 +88,17 @@ def build(items, window: int = WINDOW) -> list[WuManber]:
     return [WuManber(group, n) for n, group in sorted(by_length.items(), reverse=True)]
 
 
+#: The searchers of the block that this worker searches now: built once, not in every task.
+_BUILT: dict[str, list[WuManber]] = {}
+
+
+def _searchers(name: str, block) -> list[WuManber]:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = build(block.value)
+    return _BUILT[name]
+
+
 def merge(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -102,10 +114,11 @@ _SCHEMA = "hit_id long, hit_text string, n_words long, spans string, items strin
 
 def _searched(docs: DataFrame, block) -> DataFrame:
     """docs: (hit_id, hit_text, n_words, spans, items); block: broadcast (id, bytes) pairs."""
+    name = uuid.uuid4().hex
 
     def run(batches):
-        searchers = build(block.value)
-        for batch in batches:
+        searchers = _searchers(name, block)
+        for batch in parts(batches, "hit_text"):
             texts = text_bytes(batch.column("hit_text"))
             n_words, spans, items = [], [], []
             before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())
@@ -142,7 +155,8 @@ def search(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text
     ``[start, end)`` that occurrences cover, ``item_ids`` the items (as text) with an occurring
     window, sorted. Null or wordless documents have no words and no hits; null or wordless items
     no windows; items without id count as an item with an empty id. Rows that repeat stay; rows
-    of the benchmark that share an id are one item. An empty benchmark hits nothing.
+    of the benchmark that share an id are one item. A null document id stays null; very long texts
+    are searched whole; other columns are ignored. An empty benchmark hits nothing.
     """
     prepare(docs.sparkSession)
     none = F.lit(None)
@@ -166,9 +180,11 @@ def kept(docs: DataFrame, benchmark: DataFrame, *, text="text", item_id="item_id
     place = docs.columns.index(text)
 
     def without(held):
+        name = uuid.uuid4().hex
+
         def run(batches):
-            searchers = build(held.value)
-            for batch in batches:
+            searchers = _searchers(name, held)
+            for batch in parts(batches, place):
                 clean = [not any(s.search(w, first=True) for s in searchers) for w in map(words, text_bytes(batch.column(place)))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

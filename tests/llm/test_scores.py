@@ -171,6 +171,12 @@ def test_url_rules_and_verdicts(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_odd_urls(spark):
+    pages = spark.createDataFrame([(None, "http://a.com/x"), (1, "http://b.org/" + "p" * 300_000), (2, "http://a.com/x"), (2, "http://a.com/x")], "page_id long, url string")
+    rows = urls.digest(urls.judge(pages)).collect()
+    assert sorted(str(r["page_id"]) for r in rows) == ["1", "2", "2", "None"] and max(len(r["path"]) for r in rows) == 300_001
+
+
 def test_url_models_tell_kinds_apart(spark):
     good = [f"http://{w}{i}.com/library/{i}" for i in range(150) for w in ("book", "school")]
     bad = [f"http://{w}{i}.net/fr/casino{i}" for i in range(150) for w in ("pillz", "cash")]

@@ -48,6 +48,11 @@ def test_decontamination(spark, docs_of, block):
     assert kept.columns == docs_of(TEXTS).columns
 
 
+def test_documents_without_an_id_are_searched(spark, docs_of):
+    rows = decontaminate.digest(decontaminate.search(docs_of([ITEM, "clean words"], [None, None]), items_of(spark, ITEMS))).collect()
+    assert sorted((r["doc_id"] is None, r["contaminated"]) for r in rows) == [(True, False), (True, True)]
+
+
 def test_decontamination_of_nothing(spark, docs_of):
     empty = docs_of(["a"]).limit(0)
     assert decontaminate.search(empty, items_of(spark, ITEMS)).count() == 0
