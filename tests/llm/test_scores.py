@@ -1,5 +1,6 @@
 """Toxicity, quality, URL and language-model scores: contracts, held-out accuracy, exact parts by brute force."""
 
+import collections
 import math
 import zlib
 
@@ -187,12 +188,38 @@ def test_url_models_tell_kinds_apart(spark):
     assert sum(got[k] == want[k] for k in want) >= 76
 
 
-def test_markov_counts_are_exact(spark):
-    texts = ["http://aa.com/ab", "http://ab.com/ba", "http://aa.com/ab"] * 9
+def brute_url_score(texts, asked, order):
+    """Mean log-likelihood difference per symbol by the definition; texts: (url, accepted)."""
+    counts = collections.Counter()
+    spelt = lambda t: [int(urls._SYMBOL[b]) for b in t.encode().translate(brute.LOWER)] + [0]
+    for t, label in texts:
+        s = [0] * order + spelt(t)
+        counts.update((label, tuple(s[i - k : i]), s[i]) for i in range(order, len(s)) for k in range(order + 1))
+    s, log = [0] * order + spelt(asked), [0.0, 0.0]
+    for i in range(order, len(s)):
+        for label in (0, 1):
+            p = 1 / 64
+            for k in range(order + 1):
+                after = {c: n for (own, before, c), n in counts.items() if own == label and before == tuple(s[i - k : i])}
+                if total := sum(after.values()):
+                    blend = total / (total + len(after))
+                    p = blend * after.get(s[i], 0) / total + (1 - blend) * p
+            log[label] += math.log(p)
+    return (log[1] - log[0]) / (len(s) - order)
+
+
+def test_url_scores_by_brute_force(spark):
+    texts = ["http://aa.com/ab", "http://AB.com/ba", "http://aa.com/ab", "http://b.net/x?é", "http://c.net/fr/aab", ""] * 3 + [None]
     pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")
-    model = urls.fit(pages, rules=(("allow", "com/"),))
-    counted = [t for t in texts if zlib.crc32(t.encode()) % urls.CALIBRATE]
-    assert model.counts[1, 0].sum() == sum(len(t) + 1 for t in counted) and model.counts[0].sum() == 0
+    rules = (("allow", "com/"), ("block", "net/"))
+    model = urls.fit(pages, rules=rules)
+    learned = [(t, int(".com" in t)) for t in texts if t and zlib.crc32(t.encode()) % urls.CALIBRATE]
+    asked = ["http://aa.com/ab", "", "http://b.org/aab", "É~", "x" * 50]
+    got = model.per_symbol(*text_buffer(pa.array(asked)))
+    for t, score in zip(asked, got):
+        assert abs(score - brute_url_score(learned, t, urls.ORDER)) < 1e-6, t
+    few = urls.fit(pages, rules=rules, limit=20)
+    assert 0 < len(few.keys) - 1 <= 20 and few.counts.sum(axis=1)[:-1].min() >= max(2, model.counts.sum(axis=1)[:-1].min())
 
 
 def test_base_scores(spark, docs_of):
