@@ -4,7 +4,9 @@ import base64
 import bz2
 import gzip
 import hashlib
+import random
 import time
+import tracemalloc
 import zlib
 from urllib.parse import quote
 
@@ -63,14 +65,29 @@ def test_decontamination_of_nothing(spark, docs_of):
 @given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4))
 def test_wu_manber_finds_all(text, items):
     pairs = [(k, " ".join(w)) for k, w in enumerate(items)]
-    w = decontaminate.words(" ".join(text).encode())
-    hits, who = set(), set()
-    for s in decontaminate.build([(str(k), t.encode()) for k, t in pairs]):
-        for start, owners in s.search(w):
-            hits.update(range(start, start + s.length))
-            who.update(owners)
-    n, n_hit, n_items, _ = brute.contaminated(" ".join(text), pairs)
-    assert (len(w), len(hits), len(who)) == (n, n_hit, n_items)
+    patterns = decontaminate.Patterns((str(k), t.encode()) for k, t in pairs)
+    texts = [" ".join(text), "", "a", " ".join(reversed(text))]
+    n_words, *found = patterns.search([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        hits, who = set(), set()
+        for i, start, length, owner in zip(*found):
+            if i == k:
+                hits.update(range(start, start + length))
+                who.add(patterns.names[owner])
+        n, n_hit, n_items, _ = brute.contaminated(t, pairs)
+        assert (n_words[k], len(hits), len(who)) == (n, n_hit, n_items)
+
+
+def test_patterns_take_little_memory():
+    rng = random.Random(3)
+    vocabulary = [f"word{k}" for k in range(20_000)]
+    items = [(str(k), " ".join(rng.choices(vocabulary, k=200)).encode()) for k in range(1000)]
+    tracemalloc.start()
+    patterns = decontaminate.Patterns(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60 * 200_000
+    assert {*patterns.search([items[7][1]])[4].tolist()} == {7}
 
 
 HEX = "0123456789abcdef0123456789abcdef"
