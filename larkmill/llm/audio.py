@@ -37,6 +37,8 @@ LEAST_OVERLAP, MOST_ERROR = 20, 0.3
 LEAST_VOTES = 2
 #: Distinct query fingerprints that are broadcast at once.
 BLOCK_QUERIES = 4096
+#: Bytes of their integers and marks, of which a block holds about as many at most.
+BLOCK_BYTES = 16 << 20
 
 
 def decode(blob: bytes | None) -> tuple[np.ndarray, int]:
@@ -205,6 +207,19 @@ def fingerprints(recordings: DataFrame, *, recording_id="recording_id", audio="a
     return recordings.select(F.col(recording_id).cast("long").alias("audio_id"), F.col(audio).cast("binary").alias("audio")).mapInArrow(run, _PRINTS)
 
 
+def _kinds(asked: DataFrame) -> DataFrame:
+    """``prints, sound, ids, n`` of each distinct fingerprint: its least two ids and its number of rows.
+
+    The ids of a group are never gathered: each of an id's eight bytes puts it into one of 256
+    classes, whose least ids are kept. The second least id differs from the least in some byte,
+    so it is the least of its class there: the least two are among these 2,048 at most.
+    """
+    byte = F.posexplode(F.array([F.shiftright("audio_id", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)])).alias("place", "byte")
+    least = asked.select("prints", "sound", "audio_id", byte).groupBy("prints", "sound", "place", "byte").agg(F.min("audio_id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    ids = F.slice(F.sort_array(F.collect_set("id")), 1, 2)
+    return least.groupBy("prints", "sound").agg(ids.alias("ids"), F.sum(F.when(F.col("place") == 0, F.col("rows"))).alias("n"))
+
+
 _ALIGNED = "audio_id long, prints binary, sound binary, n_matches long, best_match long, best_offset long, best_error double"
 
 
@@ -218,10 +233,9 @@ def align(prints: DataFrame, every: int = 20, block: int = BLOCK_QUERIES) -> Dat
     """
     spark = prints.sparkSession
     asked = prints.where(F.col("audio_id") % every == 0).where(F.length("prints") >= 4 * LEAST_OVERLAP)
-    ids = F.slice(F.sort_array(F.collect_set(F.col("audio_id"))), 1, 2)
-    kinds = asked.groupBy("prints", "sound").agg(ids.alias("ids"), F.count(F.lit(1)).alias("n"))
-    kinds = materialize(kinds, "audio-queries")
-    blocks = max(1, -(-kinds.count() // block))
+    kinds = materialize(_kinds(asked), "audio-queries")
+    size = kinds.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("prints") + F.length("sound")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     none = F.lit(None)
     out = prints.select("audio_id", "prints", "sound", F.lit(0).cast("long").alias("n_matches"), none.cast("long").alias("best_match"), none.cast("long").alias("best_offset"), none.cast("double").alias("best_error"))
     for k in range(blocks):

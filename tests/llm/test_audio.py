@@ -104,3 +104,19 @@ def test_query_against_every_offset(spark, block):
             assert (got[i]["best_match"], round(got[i]["best_error"], 9)) == (min(want)[1], round(min(want)[0], 9))
     assert got[None]["n_matches"] == 2 and got[200]["n_prints"] == 0
     assert audio.align(audio.fingerprints(rows.limit(0))).count() == 0
+
+
+def test_least_two_ids_of_each_kind(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 1, 5, 255, 256, 1 << 40, -3, -256, (1 << 63) - 1, -(1 << 63)]) if k % 3 else rng.getrandbits(62), bytes([k % 7]), b"s") for k in range(300)]
+    rows += [(9, b"one", b"s")] * 3 + [(n, b"many", b"s") for n in range(0, 6000, 20)]
+    got = {bytes(r["prints"]): (r["ids"], r["n"]) for r in audio._kinds(spark.createDataFrame(rows, "audio_id long, prints binary, sound binary")).collect()}
+    want = {p: [i for i, q, _ in rows if q == p] for _, p, _ in rows}
+    assert got == {p: (sorted(set(ids))[:2], len(ids)) for p, ids in want.items()}
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, bytearray(tune(i % 6))) for i in range(0, 200, 10)], "recording_id long, audio binary")
+    whole = sorted(map(tuple, audio.digest(audio.align(audio.fingerprints(rows))).collect()))
+    monkeypatch.setattr(audio, "BLOCK_BYTES", 500)
+    assert sorted(map(tuple, audio.digest(audio.align(audio.fingerprints(rows))).collect())) == whole
