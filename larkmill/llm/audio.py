@@ -15,6 +15,7 @@ a frequent integer, and a group of equal recordings is one entry with a number.
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 
 import numpy as np
@@ -247,9 +248,22 @@ def align(prints: DataFrame, every: int = 20, block: int = BLOCK_QUERIES) -> Dat
     return out
 
 
+#: The queries of the block that this worker compares now: built once, not in every task.
+_BUILT: dict[str, Queries] = {}
+
+
+def _queries(name: str, held) -> Queries:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Queries(held.value)
+    return _BUILT[name]
+
+
 def _against(held, every: int):
+    name = uuid.uuid4().hex
+
     def run(batches):
-        queries = Queries(held.value)
+        queries = _queries(name, held)
         for batch in batches:
             known: dict[tuple[bytes, bytes], list] = {}
             columns = [c.to_pylist() for c in batch.columns]
