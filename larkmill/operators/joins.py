@@ -1,8 +1,8 @@
 """Equi-joins under interchangeable physical strategies; all return the same rows.
 
 ``auto`` leaves the choice to the planner and its adaptive re-planning; the others force one
-strategy, for comparison or because the data are known. ``broadcast`` measures the smaller
-side first and falls back to a shuffle beyond ``BROADCAST_BYTES``.
+strategy, for comparison or because the data are known. ``broadcast`` counts the right
+side's rows and bytes first and falls back to a shuffle beyond ``BROADCAST_BYTES``.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 
 from larkmill.functions import models
 
 STRATEGIES = ("auto", "broadcast", "shuffle_hash", "merge", "radix", "range", "salted", "learned_hash", "learned_two_level", "learned_spline", "learned_partitioned")
-#: The largest side, as Spark estimates it, that is sent to every executor.
+#: The largest side, by its rows as they lie in memory, that is sent to every executor.
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
 #: A key is heavy if it has more than this share of a partition's fair share of rows.
@@ -29,6 +30,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows in memory: Spark's estimate follows the files, whose rows are encoded and compressed."""
+    fixed, varying = 8 * (1 + len(df.columns)), F.lit(0)
+    for field in df.schema.fields:
+        if not isinstance(field.dataType, (NumericType, BooleanType, DatetimeType)):
+            varying = varying + F.coalesce(F.octet_length(F.col(f"`{field.name}`").cast("string")), F.lit(0))
+    return df.agg(F.sum(F.lit(fixed) + varying)).first()[0] or 0
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,7 +54,8 @@ def equi_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     if strategy == "auto":
         return left.join(right, on, how)
     if strategy == "broadcast":
-        return left.join(F.broadcast(right) if estimated_bytes(right) <= BROADCAST_BYTES else right, on, how)
+        fits = estimated_bytes(right) <= BROADCAST_BYTES and measured_bytes(right) <= BROADCAST_BYTES
+        return left.join(F.broadcast(right) if fits else right.hint("merge"), on, how)
     if strategy == "shuffle_hash":
         return left.join(right.hint("shuffle_hash"), on, how)
     if strategy == "merge":

@@ -72,6 +72,16 @@ def test_plans(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_broadcast_measures_rows_not_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1 << 18)
+    spark.range(40000).selectExpr("id AS key", "'the same' AS b").coalesce(1).write.parquet(f"{tmp_path}/packed")
+    left, right = spark.range(100).selectExpr("id AS key", "id AS a"), spark.read.parquet(f"{tmp_path}/packed")
+    assert joins.estimated_bytes(right) <= 1 << 18 < 40000 * 32 == joins.measured_bytes(right)
+    joined = joins.equi_join(left, right, ["key"], "inner", "broadcast")
+    assert "SortMergeJoin" in plan(joined) and joined.count() == 100
+    assert "BroadcastHashJoin" in plan(joins.equi_join(left, right.limit(100), ["key"], "inner", "broadcast"))
+
+
 def test_filters_reach_the_scan(spark):
     from larkmill import plans
 
