@@ -222,6 +222,20 @@ def test_url_scores_by_brute_force(spark):
     assert 0 < len(few.keys) - 1 <= 20 and few.counts.sum(axis=1)[:-1].min() >= max(2, model.counts.sum(axis=1)[:-1].min())
 
 
+def test_rare_grams_count(spark, monkeypatch):
+    texts = [f"http://{w}{i * i}.{end}/{w[::-1]}{i}" for i in range(60) for w, end in (("book", "com"), ("pill", "net"), ("boll", "org"))] + ["", None, "://", "http://a.com/x"] * 2
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, url string").repartition(3)
+    rules = (("allow", "com/"), ("block", "net/"))
+    rows = lambda model: sorted(map(tuple, urls.judge(pages, rules=rules, model=model).collect()))
+    whole = urls.fit(pages, rules=rules)
+    monkeypatch.setattr(urls, "SHARD", 100)
+    monkeypatch.setattr(urls, "PART_BYTES", 500)
+    for limit in (0, 30, 1000):
+        few = urls.fit(pages, rules=rules, limit=limit)
+        assert len(few.keys) - 1 <= limit < len(whole.keys) - 1 and few.cut == whole.cut
+        assert rows(few) == rows(whole)
+
+
 def test_base_scores(spark, docs_of):
     texts = [f"Word{i % 7} and\tmore{i} \x0bwords. É" * (1 + i % 3) for i in range(60)] + ODD
     docs = docs_of(texts)
