@@ -9,14 +9,16 @@ second order once more (``WAYS``) run beside each other; along each text their s
 how well they have predicted it so far, block after block. The costs sum to the log10
 probability.
 
-* The bit tables are counted over **all** training documents, whole: every partition folds its
-  distinct six-byte windows into arrays, and Spark sums these block by block, at most
-  ``FAN_IN`` at once. The tables grow with the input up to ``MOST_BITS``; only they and the
-  weights are broadcast (at most about 50 MB).
-* Mixing weights and the map are learned online from stretches of training text that a hash
-  picks evenly over all of it, ``SAMPLE_BYTES`` about. Each bit there is predicted from the
-  other occurrences of its contexts: its own is subtracted from the counts.
-* What the mixture says of a bit depends on six bytes only, so workers remember it by window.
+* What the mixture says of a bit depends on six bytes only. Spark counts the distinct six-byte
+  windows of **all** training documents, whole, in a table that everything is learned from.
+* Bit tables: every partition folds its windows into arrays, and Spark sums these block by
+  block, at most ``FAN_IN`` at once. The tables grow with the input up to ``MOST_BITS``; only
+  they and the weights are broadcast (at most about 50 MB; while learning, counts of 100 MB).
+* Mixing weights have the least cost over all training text: each gate's are a logistic
+  regression, found by damped Newton steps, whose sums Spark takes over all windows. The map is
+  then averaged over all windows. Each bit is predicted from the other occurrences of its
+  contexts: its own is subtracted from the counts.
+* Workers remember what the mixture says by window.
 
 The base counts every token of the training documents. Workers list the distinct tokens of
 their part of the input; counts are summed by token and joined back to each part, which keeps
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, VISIBLE, again, fold, materialize, mix64, pack, parts, prepare, slices, text_buffer, tidy, unpack, word_hashes, word_runs
+from .common import LOWER, VISIBLE, again, fold, materialize, mix64, pack, parts, prepare, release, slices, text_buffer, tidy, unpack, word_hashes, word_runs
 
 ORDERS = 5
 #: Table bits for contexts of 1 to 5 bytes, from the least input on; they grow with it up to these.
@@ -44,11 +46,13 @@ LEAST_BITS, MOST_BITS = (16, 18, 19, 20, 20), (16, 20, 21, 22, 22)
 BLOCK = 1 << 16
 #: Tables of partitions that are summed at once.
 FAN_IN = 64
-#: Bytes of training text from which mixing is learned, about, in stretches of so many.
-SAMPLE_BYTES, STRETCH = 1_000_000, 1 << 10
+#: Steps of learning the weights at most, and the share of the cost under which a step's gain ends it.
+STEPS, GAIN = 8, 1e-3
+#: Bytes of input for each part of the table of windows; windows that a worker learns from at once.
+TABLE_BYTES, LEARNED_TOGETHER = 16 << 20, 1 << 15
 SLICE = 1 << 20
 #: Bytes of text whose tokens are listed together.
-PART_BYTES = 24 << 20
+PART_BYTES = 8 << 20
 CACHE_BITS = 21
 #: Weights of the mixture, its refinement and the second order in the logistic domain, each a way to mix them.
 WAYS = np.array([[0.5, 0.5, 0.0], [1.0, 0.15, 0.0], [0.0, 0.9, 0.0], [0.3, 0.3, 0.3]])
@@ -130,11 +134,8 @@ class Model:
         return x, gate
 
     def _map(self, key, node, z):
-        row = (((key >> np.uint64(8)) & np.uint64(255)) << np.uint64(8) | node).astype(np.int64)
-        at = (np.clip(z, -7.99, 7.99) + 8) * ((_LEVELS - 1) / 16)
-        low = at.astype(np.int64)
-        part = (at - low).astype(np.float32)
-        return row, low, part, self.refined[row, low] * (1 - part) + self.refined[row, low + 1] * part
+        row, low, part = _levels(key, node, z)
+        return self.refined[row, low] * (1 - part) + self.refined[row, low + 1] * part
 
     def costs(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of each window's last byte by each way: (window, way)."""
@@ -142,34 +143,90 @@ class Model:
         for j, node, bit in bits_of(key):
             x, gate = self._inputs(key, j, node)
             z = np.clip((self.weights[gate] * x).sum(axis=1), -12, 12)
-            p = np.clip(self._map(key, node, z)[3], _FLOOR, 1 - _FLOOR)
+            p = np.clip(self._map(key, node, z), _FLOOR, 1 - _FLOOR)
             mixed = np.stack([z, np.log(p / (1 - p)), x[:, 1]], axis=1) @ WAYS.T
             p = np.clip(1 / (1 + np.exp(-np.clip(mixed, -12, 12))), _FLOOR, 1 - _FLOOR)
             out += np.log10(np.where(bit[:, None] == 1, p, 1 - p))
         return out
 
-    def learn(self, key: np.ndarray, counts: list[np.ndarray], epochs: int = 2, batch: int = 4096) -> None:
-        """Online passes over windows in the order of their texts: gated weights first, then the map on top of them."""
-        gates = len(self.weights)
-        for epoch in range(epochs):
-            rate = 0.15 / (1 + epoch)
-            for k in np.array_split(key, max(1, len(key) // batch)):
-                for j, node, bit in bits_of(k):
-                    x, gate = self._inputs(k, j, node, counts, bit)
-                    z = (self.weights[gate] * x).sum(axis=1)
-                    error = bit - 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-                    mass = np.bincount(gate, minlength=gates)
-                    seen = mass > 0
-                    for i in range(ORDERS + 1):
-                        step = np.bincount(gate, error * x[:, i], gates)
-                        self.weights[seen, i] += rate * step[seen] / mass[seen]
-                    if epoch:
-                        row, low, part, _ = self._map(k, node, z)
-                        flat = self.refined.reshape(-1)
-                        for place, share in ((low, 1 - part), (low + 1, part)):
-                            cell, where = np.unique(row * _LEVELS + place, return_inverse=True)
-                            w, hit = np.bincount(where, share), np.bincount(where, share * bit)
-                            flat[cell] += (hit - w * flat[cell]) / (w + 30)
+    def sums(self, key: np.ndarray, times: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+        """Of each gate, the windows' cost in nats, its falling gradient and its curvature (lower triangle) by the weights."""
+        gates, n = len(self.weights), ORDERS + 1
+        out = np.zeros((gates, 1 + n + len(_LOWER[0])))
+        for j, node, bit in bits_of(key):
+            x, gate = self._inputs(key, j, node, counts, bit)
+            p = 1 / (1 + np.exp(-np.clip((self.weights[gate] * x).sum(axis=1, dtype=np.float64), -12, 12)))
+            error, curve = times * (bit - p), times * p * (1 - p)
+            out[:, 0] -= np.bincount(gate, times * np.log(np.where(bit == 1, p, 1 - p)), gates)
+            for i in range(n):
+                out[:, 1 + i] += np.bincount(gate, error * x[:, i], gates)
+            for at, (i, k) in enumerate(zip(*_LOWER), 1 + n):
+                out[:, at] += np.bincount(gate, curve * x[:, i] * x[:, k], gates)
+        return out
+
+    def cells(self, key: np.ndarray, times: np.ndarray, counts: list[np.ndarray]):
+        """Cells of the map that the windows meet, with how much and how much of it for ones, in 65536ths."""
+        cells, mass, ones = [], [], []
+        for j, node, bit in bits_of(key):
+            x, gate = self._inputs(key, j, node, counts, bit)
+            row, low, part = _levels(key, node, (self.weights[gate] * x).sum(axis=1))
+            part = np.rint(part * 65536).astype(np.int64)
+            for place, share in ((low, 65536 - part), (low + 1, part)):
+                cells.append(row * _LEVELS + place)
+                mass.append(share * times)
+                ones.append(share * times * bit)
+        cell, first = np.unique(np.concatenate(cells), return_inverse=True)
+        order = np.argsort(first, kind="stable")
+        begin = np.searchsorted(first[order], np.arange(len(cell)))
+        return cell, np.add.reduceat(np.concatenate(mass)[order], begin), np.add.reduceat(np.concatenate(ones)[order], begin)
+
+    def learn(self, key: np.ndarray, counts: list[np.ndarray]) -> None:
+        """Weights and map from these windows, each as often as it occurs."""
+        key, times = np.unique(key, return_counts=True)
+        if len(key):
+            _learn(self, lambda: self.sums(key, times, counts), lambda: self.cells(key, times, counts))
+
+
+def _levels(key, node, z):
+    """Row and lower level of the map, and what part falls to the level above."""
+    row = (((key >> np.uint64(8)) & np.uint64(255)) << np.uint64(8) | node).astype(np.int64)
+    at = (np.clip(z, -7.99, 7.99) + 8) * ((_LEVELS - 1) / 16)
+    low = at.astype(np.int64)
+    return row, low, (at - low).astype(np.float32)
+
+
+_LOWER = np.tril_indices(ORDERS + 1)
+
+
+def _learn(model: Model, summed, celled) -> None:
+    """Newton steps, damped gate by gate: a gate's step that raises its cost is taken back, and a shorter one tried.
+
+    ``summed`` and ``celled`` give :meth:`Model.sums` and :meth:`Model.cells` of all windows.
+    """
+    n, gates = ORDERS + 1, len(model.weights)
+    best, held = model.weights.copy(), None
+    damping = np.full(gates, 0.1)
+    for step in range(STEPS):
+        found = summed()
+        if held is None:
+            held, gain = found, np.inf
+        else:
+            better = found[:, 0] < held[:, 0]
+            gain = (held[better, 0] - found[better, 0]).sum()
+            best[better], held[better] = model.weights[better], found[better]
+            damping *= np.where(better, 0.25, 8)
+        if gain <= GAIN * held[:, 0].sum() or step == STEPS - 1:
+            break
+        curve = np.zeros((gates, n, n))
+        curve[:, _LOWER[0], _LOWER[1]] = curve[:, _LOWER[1], _LOWER[0]] = held[:, 1 + n :]
+        size = np.einsum("gii->gi", curve)
+        curve += np.eye(n) * (1 + damping[:, None] * (1 + size + 1e-3 * size.max(axis=1, keepdims=True)))[:, None, :]
+        moved = best + np.linalg.solve(curve, held[:, 1 : 1 + n, None])[:, :, 0]
+        model.weights = (np.rint(moved * 65536) / 65536).astype(np.float32)  # the order of sums doesn't show
+    model.weights = best
+    cell, mass, ones = celled()
+    flat = model.refined.reshape(-1)
+    flat[cell] = (ones / 65536 + 30 * flat[cell]) / (mass / 65536 + 30)
 
 
 _GATE = np.array([0, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3])
@@ -177,7 +234,7 @@ _GATE = np.array([0, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3])
 
 def untrained(bits=LEAST_BITS) -> Model:
     levels = np.linspace(-8, 8, _LEVELS)
-    weights = np.full((8 * 64, ORDERS + 1), 0.3, np.float32)
+    weights = np.full((8 * 64, ORDERS + 1), 0.2, np.float32)
     weights[:, ORDERS] = 0
     return Model(bits, [np.zeros(1 << b, np.float16) for b in bits], [np.zeros(1 << b, np.uint8) for b in bits], weights, np.tile((1 / (1 + np.exp(-levels))).astype(np.float32), (1 << 16, 1)))
 
@@ -245,15 +302,55 @@ def _count_bits(tables, key, count, bits):
 _BLOCKS = "block int, part int, counts binary"
 
 
-def _counted(bits):
-    """Bit counts of one partition's texts: one row for each block of each table."""
+def _listed_windows(batches):
+    """Distinct windows of texts, with how often they occur; a window may come again."""
+    held = _Windows()
+
+    def flushed():
+        key, count = held.take()
+        for a in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)].view(np.int64)), pa.array(count[a : a + (1 << 16)])], ["key", "times"])
+
+    for batch in parts(batches, 0):
+        held.add(*text_buffer(batch.column(0)))
+        if held.size > held.limit // 2:
+            merged, held = held.take(), _Windows()
+            held.keys, held.counts, held.size = [merged[0]], [merged[1]], len(merged[0])
+            if held.size > held.limit // 4:
+                yield from flushed()
+                held = _Windows()
+    yield from flushed()
+
+
+def _keys(batch: pa.RecordBatch):
+    return np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("times"))
+
+
+def _runs(batches):
+    """Windows and their times, LEARNED_TOGETHER about at once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(_keys(batch))
+        size += batch.num_rows
+        if size >= LEARNED_TOGETHER:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _counted(bits, listed: bool = False):
+    """Bit counts of one partition's texts, or of its windows if they are ``listed``: one row for each block of each table."""
 
     def run(batches):
         held = _Windows()
         tables = [np.zeros(2 << b, np.uint32) for b in bits]
         seen = False
-        for batch in parts(batches, 0):
-            held.add(*text_buffer(batch.column(0)))
+        for batch in batches if listed else parts(batches, 0):
+            if listed:
+                _count_bits(tables, *_keys(batch), bits)
+            else:
+                held.add(*text_buffer(batch.column(0)))
             if held.size > held.limit // 2:
                 _count_bits(tables, *held.take(), bits)
                 held = _Windows()
@@ -279,33 +376,15 @@ def _added(key, table):
     return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([pack(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary())})
 
 
-def _sampled(share: float):
-    """Windows of the stretches that a hash of their text and place picks."""
-    limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
-
-    def run(batches):
-        for batch in parts(batches, "lm_text", SLICE):
-            data, offsets = text_buffer(batch.column("lm_text"))
-            key, at = windows(data, offsets)
-            mark, blob = [], []
-            for h, a, b in zip(batch.column("mark").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                n = -(-(b - a) // STRETCH)
-                value = mix64(np.uint64(h & 0xFFFFFFFFFFFFFFFF) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                for k in np.flatnonzero(value <= limit).tolist():
-                    mark.append(int(value[k] >> np.uint64(1)))
-                    blob.append(key[a + k * STRETCH : min(b, a + (k + 1) * STRETCH)].tobytes())
-            if mark:
-                yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(blob, pa.binary())], ["mark", "keys"])
-
-    return run
-
-
 def fit(rows: DataFrame, total_bytes: int) -> Model:
     """``rows``: lm_id, lm_text, lm_training (from :func:`score`)."""
-    training = rows.where("lm_training").select("lm_text", F.xxhash64("lm_id", "lm_text").alias("mark"))
+    spark = rows.sparkSession
     bits = bits_for(total_bytes)
-    summed = training.select("lm_text").mapInArrow(_counted(bits), _BLOCKS)
-    n = rows.rdd.getNumPartitions()
+    listed = rows.where("lm_training").select("lm_text").mapInArrow(_listed_windows, "key long, times long")
+    listed = listed.repartition(min(4096, max(8, total_bytes // TABLE_BYTES)), "key").groupBy("key").agg(F.sum("times").alias("times"))
+    listed = materialize(listed, "lm-windows")
+    summed = listed.mapInArrow(_counted(bits, True), _BLOCKS)
+    n = listed.rdd.getNumPartitions()
     while True:  # a tree of bounded fan-in; the last level has one row for each block
         n = -(-n // FAN_IN)
         summed = summed.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "part").applyInArrow(_added, _BLOCKS)
@@ -318,10 +397,37 @@ def fit(rows: DataFrame, total_bytes: int) -> Model:
         counts[order][2 * k * BLOCK : 2 * (k + 1) * BLOCK] = piece = unpack(r["counts"], np.uint32)
         stretch, model.sure[order][k * BLOCK : (k + 1) * BLOCK] = _stretched(*piece.reshape(-1, 2).T.astype(np.float64))
         model.stretch[order][k * BLOCK : (k + 1) * BLOCK] = stretch
-    sample = training.mapInArrow(_sampled(min(1.0, SAMPLE_BYTES / max(total_bytes, 1))), "mark long, keys binary")
-    stretches = sorted((r["mark"], r["keys"]) for r in sample.toLocalIterator())
-    if stretches:
-        model.learn(np.frombuffer(b"".join(k for _, k in stretches), np.uint64), counts)
+    shared = spark.sparkContext.broadcast(counts)
+    del counts
+    names = [f"c{k}" for k in range(1 + ORDERS + 1 + len(_LOWER[0]))]
+
+    def all_sums():
+        mixing = Model(bits, [], [], model.weights, np.zeros(0))
+
+        def run(batches):
+            total = sum(mixing.sums(key, times, shared.value) for key, times in _runs(batches))
+            if isinstance(total, np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), *map(pa.array, np.ascontiguousarray(total.T))], ["gate", *names])
+
+        table = listed.mapInArrow(run, "gate int, " + ", ".join(f"{c} double" for c in names)).groupBy("gate").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+        out = np.zeros((len(model.weights), len(names)))
+        out[np.asarray(table.column("gate"))] = np.stack([np.asarray(table.column(c)) for c in names], axis=1)
+        return out
+
+    def all_cells():
+        mixing = Model(bits, [], [], model.weights, np.zeros(0))
+
+        def run(batches):
+            for key, times in _runs(batches):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, mixing.cells(key, times, shared.value))], ["cell", "mass", "ones"])
+
+        table = listed.mapInArrow(run, "cell long, mass long, ones long").groupBy("cell").agg(F.sum("mass").alias("mass"), F.sum("ones").alias("ones")).toArrow()
+        return tuple(np.asarray(table.column(c)) for c in ("cell", "mass", "ones"))
+
+    if not listed.isEmpty():
+        _learn(model, all_sums, all_cells)
+    shared.destroy()
+    release(listed)
     return model
 
 

@@ -322,6 +322,17 @@ def test_learned_weights_help_on_other_texts():
     assert text_scores(model, texts[400:480]).sum() > 0.97 * before  # log probabilities: nearer to zero
 
 
+def test_mixing_is_learned_from_all_training_text(spark, docs_of):
+    texts = [f"text {k} of {w} and {w[::-1]} {k * k}. " * 20 for k in range(40) for w in ("cat", "house", "river")]
+    rows = docs_of(texts).selectExpr("doc_id as lm_id", "text as lm_text", "doc_id % 3 <> 0 as lm_training").repartition(3)
+    got = lm_scores.fit(rows, 2_000_000)  # of that many bytes, half were learned from
+    model, key, counts = small_model([r["lm_text"] for r in rows.where("lm_training").collect()])
+    model.learn(key, counts)
+    assert got.bits == model.bits and np.abs(model.weights - lm_scores.untrained().weights).max() > 0.05
+    assert np.allclose(got.weights, model.weights, atol=1e-3) and np.allclose(got.refined, model.refined, atol=1e-3)
+    assert np.allclose(text_scores(got, texts[:3]), text_scores(model, texts[:3]), rtol=1e-3)
+
+
 def test_every_training_text_is_counted(spark, docs_of):
     """Long texts too: what follows a context that one long text alone has is known to the model."""
     long = "xq" * 200_000
