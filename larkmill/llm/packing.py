@@ -20,15 +20,17 @@ and look their place up in the broadcast plan.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, prepare, release, tidy
+from .common import materialize, parts, prepare, release, slices, text_buffer, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -36,42 +38,92 @@ END_ID = 0
 LARGE_SHARE = 1 / 8
 #: Numbers of groups that are tried; the plan with the fewest sequences stays.
 GROUPS = (24, 48, 96)
-#: Bytes that a worker spends on remembered pieces and their ids, about; pieces of over LONG_PIECE characters are not remembered.
-REMEMBERED_BYTES = 64 << 20
+#: Bytes of remembered pieces and their ids in a worker; pieces of over LONG_PIECE bytes are not remembered.
+REMEMBERED_BYTES = 24 << 20
 LONG_PIECE = 64
-_ENTRY = 230  # of a dictionary with a short string and its bytes, besides their content
-#: New pieces that are encoded end to end.
+#: New pieces that are encoded end to end, and how many such runs at a time.
 JOINED = 500
+RUNS = 16
+#: Bytes of text that are encoded together.
+SLICE = 2 << 20
 #: Pieces that one task ranks within one length, about.
 RANKED_TOGETHER = 100_000
 
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD_SPACE = re.compile(r"[^\S \n]")
+#: Lead bytes of all white space but blanks and line feeds, and of much else.
+_DOUBTFUL = np.zeros(256, bool)
+_DOUBTFUL[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _boundaries() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte, and for two classes (8 * first + second) whether the byte-level pattern always ends a match between them."""
+    punctuation, letter, digit, blank, apostrophe, bar, beyond = range(7)
+    kind = np.full(256, punctuation, np.uint8)
+    for byte in range(128):
+        if chr(byte).isalpha():
+            kind[byte] = letter
+        elif chr(byte).isdigit():
+            kind[byte] = digit
+    kind[[32, 10]], kind[39], kind[124], kind[128:] = blank, apostrophe, bar, beyond
+    ends = np.zeros((8, 8), bool)
+    ends[[punctuation, letter, digit, apostrophe, bar, beyond], blank] = True
+    ends[letter, [punctuation, digit, apostrophe]] = True
+    ends[digit, [punctuation, letter, apostrophe, bar]] = True
+    ends[punctuation, [letter, digit]] = True
+    ends[[apostrophe, bar], digit] = True  # an apostrophe may begin 's; a bar stands beside the letters of <|special|>
+    return kind, ends.ravel()
+
+
+_KIND, _ENDS = _boundaries()
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces that can be encoded by themselves begin in texts laid end to end; at each text's start too."""
+    if len(data) == 0:
+        return np.zeros(0, np.int64)
+    kind = _KIND[data]
+    begins = np.zeros(len(data), bool)
+    np.take(_ENDS, (kind[:-1] << 3) | kind[1:], out=begins[1:])
+    begins[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The byte-level pattern never joins a non-space to a following blank, so the stretches
-    ``blanks + non-blanks`` of a text can be encoded one by one, and remembered. Texts with
-    white space other than blanks and line feeds are encoded whole.
+    The byte-level pattern never joins a non-space to a following blank, nor an ASCII letter, digit
+    or sign to one of the others, but for what an apostrophe begins. So a text's pieces between such
+    places are encoded one by one, each distinct one once, and remembered. Texts with white space other than
+    blanks and line feeds are encoded whole, as all are by a tokenizer of another pattern.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        # remembered pieces, their ids end to end, where each one's begin, and how many it has
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.first, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
+        self.parted = self._parted()
+
+    def _parted(self) -> bool:
+        """Whether this tokenizer never joins what :func:`piece_starts` parts."""
+        before = self.tokenizer.pre_tokenizer
+        state = json.loads(before.__getstate__()) if before is not None else {}
+        if self.tokenizer.normalizer is not None or state.get("type") != "ByteLevel" or state.get("add_prefix_space") or not state.get("use_regex"):
+            return False
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        return all(len(piece_starts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))) == 1 for t in added)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[str]) -> list[bytes]:
         """Encode pieces end to end, in runs: each starts with a blank after a non-blank, so none changes its neighbours' ids."""
-        joined = [p for p in pieces if p[0] in " \n" and p[-1] not in " \n" and "<|" not in p]
-        alone = [p for p in pieces if not (p[0] in " \n" and p[-1] not in " \n" and "<|" not in p)]
+        joined, alone = [], []
+        for p in pieces:
+            (joined if self.parted and p[0] in " \n" and not p[-1].isspace() and "<|" not in p else alone).append(p)
         if len(self.sizes) == 0:
             vocabulary = self.tokenizer.get_vocab()
             self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -79,31 +131,86 @@ class Encoder:
                 self.sizes[k] = len(token)  # a character stands for a byte
         learned: dict[str, bytes] = {}
         runs = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
-        for run, encoding in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
-            ids = np.array(encoding.ids, "<u4")
-            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in run])
-            at = np.searchsorted(ends, wanted)
-            if at[-1] >= len(ids) or not np.array_equal(ends[at], wanted):
-                alone += run
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
-            learned.update(zip(run, (raw[a:b] for a, b in zip(at, at[1:]))))
-        learned.update(zip(alone, self._encode(alone)))
-        return learned
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        missing = {p for pieces in split if pieces for p in pieces} - self.known.keys()
-        fresh = self._learn(list(missing)) if missing else {}
-        get = (self.known | fresh).__getitem__ if len(fresh) * 8 > len(self.known) else lambda p: self.known.get(p) or fresh[p]
-        out = [self._encode([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split)]
-        kept = {p: raw for p, raw in fresh.items() if len(p) <= LONG_PIECE}
-        self.held += sum(_ENTRY + len(p) + len(raw) for p, raw in kept.items())
-        if self.held > REMEMBERED_BYTES:
-            self.known, self.held = {}, 0
+        for first in range(0, len(runs), RUNS):
+            some = runs[first : first + RUNS]
+            for run, encoding in zip(some, self.tokenizer.encode_batch_fast(["".join(r) for r in some], add_special_tokens=False)):
+                ids = np.array(encoding.ids, "<u4")
+                ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in run])
+                at = np.searchsorted(ends, wanted)
+                if at[-1] >= len(ids) or not np.array_equal(ends[at], wanted):
+                    alone += run
+                    continue
+                raw, at = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+                learned.update(zip(run, (raw[a:b] for a, b in zip(at, at[1:]))))
+        for a in range(0, len(alone), JOINED):
+            learned.update(zip(alone[a : a + JOINED], self._encode(alone[a : a + JOINED])))
+        return [learned[p] for p in pieces]
+
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct pieces: ids end to end (with others between), where each one's begin, how many it has."""
+        at = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = at < 0
+        if not missing.any():
+            return self.ids, self.first[at], self.count[at]
+        new = pieces.filter(pa.array(missing))
+        raws = self._learn(new.to_pylist())
+        more = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(raws), "<u4")])
+        first = np.concatenate([self.first, len(self.ids) + np.cumsum(more) - more])
+        count = np.concatenate([self.count, more])
+        at[missing] = len(self.known) + np.arange(len(new))
+        self._remember(pa.concat_arrays([self.known, new]), ids, first, count, at)
+        return ids, first[at], count[at]
+
+    def _remember(self, known: pa.Array, ids: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> None:
+        """Keep all pieces but long ones; when that is too much, those ``at`` hand, and of them as many as half the bytes hold."""
+        size = pc.binary_length(known).to_numpy()
+        keep = size <= LONG_PIECE
+        cost = size + 4 * count + 24
+        if cost[keep].sum() > REMEMBERED_BYTES:
+            now = np.zeros(len(known), bool)
+            now[at] = True
+            keep &= now
+            keep &= np.cumsum(cost * keep) <= REMEMBERED_BYTES // 2
+        if not keep.all():
+            known, first, count = known.filter(pa.array(keep)), first[keep], count[keep]
+            ids, first = _gathered(ids, first, count), np.cumsum(count) - count
+        self.known, self.ids, self.first, self.count = known, ids, first, count
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        data, offsets = text_buffer(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        return [raw for a, b in slices(offsets, SLICE) for raw in self._slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        if len(data) == 0:
+            return [b""] * (len(offsets) - 1)
+        starts = piece_starts(data, offsets)
+        if self.parted:
+            texts = np.unique(np.searchsorted(offsets, np.flatnonzero(_DOUBTFUL[data]), side="right") - 1).tolist()
+            whole = [k for k in texts if _ODD_SPACE.search(data[offsets[k] : offsets[k + 1]].tobytes().decode())]
         else:
-            self.known.update(kept)
-        return out
+            whole = range(len(offsets) - 1)
+        if len(whole):
+            odd = np.zeros(len(offsets) - 1, bool)
+            odd[whole] = True
+            owner = np.searchsorted(offsets, starts, side="right") - 1
+            starts = starts[~odd[owner] | (starts == offsets[owner])]
+        ends = pa.py_buffer(np.append(starts, len(data)))
+        pieces = pa.LargeStringArray.from_buffers(len(starts), ends, pa.py_buffer(data)).dictionary_encode()
+        ids, first, count = self._ids(pieces.dictionary)
+        index = pieces.indices.to_numpy()
+        first, count = first[index], count[index]
+        ids = _gathered(ids, first, count)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        cut = upto[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+
+def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Runs of values, given by their places and sizes, end to end."""
+    place = np.repeat(first - (np.cumsum(count) - count), count)
+    place += np.arange(len(place))
+    return values[place]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -137,8 +244,8 @@ def tokenize(docs: DataFrame, *, tokenizer: str | None = None, capacity=CAPACITY
 
     def run(batches):
         encode = encoder(tokenizer or default_tokenizer())
-        for batch in parts(batches, "packed_text", 2 << 20):
-            ids = encode([x or "" for x in batch.column("packed_text").to_pylist()])
+        for batch in parts(batches, "packed_text", SLICE):
+            ids = encode(batch.column("packed_text"))
             owner, piece, start, length, crc, kept = [], [], [], [], [], []
             for d, raw in zip(batch.column("packed_id").to_pylist(), ids):
                 raw += end

@@ -224,6 +224,30 @@ def test_packing(docs_of, spark):
     assert packing.pack(docs_of(["a"]).limit(0)).count() == 0
 
 
+def test_pieces_are_encoded_once_whatever_signs_follow(monkeypatch):
+    encode, asked = packing.Encoder(packing.default_tokenizer()), []
+    learn = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda pieces: asked.extend(pieces) or learn(pieces))
+    words = [f" {a}{b}" for a in VOCABULARY for b in VOCABULARY[:10]]
+    encode(["".join(w + sign for w in words) for sign in (",", ".", ";", "?!", "'s", " 12.5")])
+    assert len(asked) <= len(words) + 10  # 3,600 with a word and what follows it as one piece
+    encode(["".join(words)])
+    assert len(asked) <= len(words) + 10
+
+
+def test_encoder_equals_tokenizer_on_odd_texts_and_with_little_memory(monkeypatch):
+    rng = random.Random(4)
+    signs = [*"ab'sStrelvmd|<>12 \n\u00e9.,-\t\u65e5\u00df\u00b2\u2167_\u0301\x00\x1c\x85\u00a0\u3000\u2019", "<|endoftext|>", "'s", "'ll", "  ", "<|", "|>", "x" * 70]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in packing.Encoder(packing.default_tokenizer()).tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert packing.Encoder(packing.default_tokenizer())(texts) == expected
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 5000)
+    monkeypatch.setattr(packing, "SLICE", 1000)
+    encode = packing.Encoder(packing.default_tokenizer())
+    assert encode(texts) == expected
+    assert encode.known.nbytes + encode.ids.nbytes + encode.first.nbytes + encode.count.nbytes <= 5100
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_place_each_rank_once(seed):
     rng = random.Random(seed)
