@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, parts, prepare, text_bytes
+from .common import materialize, mix64, parts, prepare, text_bytes, tidied
 
 WINDOW = 10
 #: UTF-8 bytes of item texts that one broadcast block may hold.
@@ -193,7 +193,7 @@ def _searched(docs: DataFrame, block) -> DataFrame:
             columns = [batch.column("hit_id"), batch.column("hit_text"), pa.array(n_words), pa.array(spans, pa.string()), pa.array(items, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["hit_id", "hit_text", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(tidied(run), _SCHEMA)
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int):
@@ -251,7 +251,7 @@ def kept(docs: DataFrame, benchmark: DataFrame, *, text="text", item_id="item_id
 
     out = docs
     for blocks, held in item_blocks(benchmark, item_id, item_text, block_bytes):
-        out = out.mapInArrow(without(held), docs.schema)
+        out = out.mapInArrow(tidied(without(held)), docs.schema)
         if blocks > 1:
             out = materialize(out, "decontaminate")
     return out

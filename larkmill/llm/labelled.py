@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkmill.session import ship
 
-from .common import fold, text_bytes
+from .common import fold, text_bytes, tidied
 
 #: Labelled rows of each class that training may use.
 PER_CLASS = 3000
@@ -60,7 +60,7 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held_o
             yield pa.RecordBatch.from_arrays([batch.column("sample_id"), pa.array(texts, pa.string()), batch.column("label")], ["sample_id", "text", "label"])
 
     # one row of each id, however often it occurs: at most 2 * per_class rows of at most ``longest`` bytes
-    one = found.mapInArrow(shortened, "sample_id long, text string, label int").groupBy("sample_id", "label").agg(F.min("text").alias("text"))
+    one = found.mapInArrow(tidied(shortened), "sample_id long, text string, label int").groupBy("sample_id", "label").agg(F.min("text").alias("text"))
     return one.toPandas().sort_values("sample_id").reset_index(drop=True)[["text", "label"]]
 
 

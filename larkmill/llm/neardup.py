@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, materialize, mix64, parts, prepare, release, slices, text_buffer, tidy, word_hashes, word_runs
+from .common import LOWER, WORD, materialize, mix64, parts, prepare, release, slices, text_buffer, tidied, tidy, word_hashes, word_runs
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -152,7 +152,7 @@ def node_rows(docs: DataFrame, threshold: float, runs: int, size: int, doc_id: s
             high, low = zip(*keys)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "high", "low", "sketch", "paths"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("near_id"), F.col(text).alias("near_text")).mapInArrow(run, _NODES)
+    return docs.select(F.col(doc_id).cast("long").alias("near_id"), F.col(text).alias("near_text")).mapInArrow(tidied(run), _NODES)
 
 
 def _split(threshold: float, level: int):
@@ -195,7 +195,7 @@ def leaves(nodes: DataFrame, threshold: float, small: int, depth: int, dense: fl
         if level == depth or more.isEmpty():
             break
         held = more.join(nodes.select("node", "sketch"), "node")
-        rows = held.mapInArrow(_split(threshold, level), "path long, node long, parent_size long")
+        rows = held.mapInArrow(tidied(_split(threshold, level)), "path long, node long, parent_size long")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -464,15 +464,15 @@ def near_duplicates(docs: DataFrame, *, threshold=THRESHOLD, recall=RECALL, size
         return rows.repartition(split, "path", "one", "two").sortWithinPartitions("path", "one", "two", "node")
 
     sketched = arranged(groups.join(profile.drop("copies"), "node"))
-    wanted = materialize(sketched.select("path", "one", "two", "own", "node", "sketch", "leaves").mapInArrow(_sketched(threshold), _WANTED), "near-wanted")
+    wanted = materialize(sketched.select("path", "one", "two", "own", "node", "sketch", "leaves").mapInArrow(tidied(_sketched(threshold)), _WANTED), "near-wanted")
     release(leaf)
     tidy(spark)
     need = wanted.select("node").distinct().join(nodes.select("node", "high", "low", "first_id"), "node")
     texts = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text"))
-    held = texts.join(need, "first_id").select("node", "high", "low", "text").mapInArrow(_sets(size), "node long, shingles binary")
+    held = texts.join(need, "first_id").select("node", "high", "low", "text").mapInArrow(tidied(_sets(size)), "node long, shingles binary")
     held = held.dropDuplicates(["node"])
     full = wanted.join(profile, "node").join(held, "node")
-    found = materialize(arranged(full).select("path", "one", "two", "own", "node", "copies", "sketch", "leaves", "shingles").mapInArrow(_verified(threshold), _FOUND), "near-links")
+    found = materialize(arranged(full).select("path", "one", "two", "own", "node", "copies", "sketch", "leaves", "shingles").mapInArrow(tidied(_verified(threshold)), _FOUND), "near-links")
     release(wanted, profile)
     tidy(spark)
     classes = connect(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, prepare, release, slices, text_buffer, tidy
+from .common import materialize, parts, prepare, release, slices, text_buffer, tidied, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -259,7 +259,7 @@ def tokenize(docs: DataFrame, *, tokenizer: str | None = None, capacity=CAPACITY
                     kept.append(part if with_ids else None)
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("packed_id"), F.col(text).alias("packed_text")).mapInArrow(run, _PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("packed_id"), F.col(text).alias("packed_text")).mapInArrow(tidied(run), _PIECES)
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:
@@ -479,7 +479,7 @@ def place(pieces: DataFrame, counts: dict[int, int], groups=GROUPS, capacity: in
             row = held.value[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(row[:, 3] + r - row[:, 1]), pa.array(row[:, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, _PLACED)
+    return ranked.mapInArrow(tidied(run), _PLACED)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

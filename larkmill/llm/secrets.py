@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, prepare
+from .common import parts, prepare, tidied
 
 #: Kinds in the order in which findings at one start are listed.
 KINDS = ("assign", "access", "hex")
@@ -490,7 +490,7 @@ def scan_secrets(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
             counts = [pa.array([sum(k == kind for _, k, _ in base) for base, _ in rows], pa.int64()) for kind in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("secret_id"), batch.column("secret_text"), *counts, pa.array([listed(b) for b, _ in rows], pa.string()), pa.array([listed(e) for _, e in rows], pa.string())], ["doc_id", "text", "n_assign", "n_access", "n_hex", "base", "spans"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("secret_id"), F.col(text).alias("secret_text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("secret_id"), F.col(text).alias("secret_text")).mapInArrow(tidied(run), _SCHEMA)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -520,4 +520,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(place).type) if i == place else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

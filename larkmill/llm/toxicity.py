@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import LOWER, WORD, fold, mix64, parts, prepare, run_hashes, slices, text_buffer, word_runs
+from .common import LOWER, WORD, fold, mix64, parts, prepare, run_hashes, slices, text_buffer, tidied, word_runs
 
 BITS = 18
 GRAMS = (3, 4, 5, 6)
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, *, modulus=5, held_out=0, doc_id="doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(value, pa.float64())], ["doc_id", "text", "held_out", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("toxic_id"), F.col(text).alias("toxic_text"), F.coalesce(fold(doc_id, modulus) == held_out, F.lit(False)).alias("toxic_held_out"))
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(tidied(run), _SCHEMA)
 
 
 def kept(docs: DataFrame, model: Model, *, text="text", below=0.5) -> DataFrame:
@@ -244,7 +244,7 @@ def kept(docs: DataFrame, model: Model, *, text="text", below=0.5) -> DataFrame:
             value = 1 / (1 + np.exp(-np.clip(held.value.logits(*text_buffer(batch.column(place))), -60, 60)))
             yield batch.filter(pa.array(value < below))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def digest(scored: DataFrame) -> DataFrame:
