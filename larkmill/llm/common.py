@@ -98,8 +98,9 @@ def written(spark: SparkSession) -> int:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing can read any more; else they stay until the driver's heap is full."""
+    """Let Spark delete shuffle files that nothing can read any more, else they stay until the driver's heap is full; give back what the driver has freed."""
     gc.collect()
+    _give_back()
     spark.sparkContext._jvm.System.gc()
 
 

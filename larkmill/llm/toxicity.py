@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import LOWER, WORD, fold, mix64, parts, prepare, run_hashes, slices, text_buffer, tidied, word_runs
+from .common import LOWER, WORD, fold, mix64, parts, prepare, run_hashes, slices, text_buffer, tidied, tidy, word_runs
 
 BITS = 18
 GRAMS = (3, 4, 5, 6)
@@ -37,6 +37,10 @@ _EDGE = 1  # a byte that no word has
 
 #: Bytes of text that are looked at together.
 SLICE = 1 << 20
+#: The same in training, on the driver, where a slice's subwords take over 200 times its size.
+BAG_SLICE = 64 << 10
+#: Entries of bags that are summed at once.
+SUMMED = 1 << 14
 
 
 def _marked(data: np.ndarray, offsets: np.ndarray):
@@ -97,7 +101,7 @@ class Model:
 def _bags(texts: list[str], bits: int):
     """Entries (text, bucket, times) by text, then bucket: some texts at a time."""
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    for a, b in slices(offsets, SLICE):
+    for a, b in slices(offsets, BAG_SLICE):
         part = offsets[a : b + 1]
         out, at, before = _marked(data[part[0] : part[-1]], part - part[0])
         edges = at[before]
@@ -108,12 +112,14 @@ def _bags(texts: list[str], bits: int):
         yield (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32), count.astype(np.float32)
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive rows; ``starts`` has one more entry than there are sums."""
+def _sums(values: np.ndarray, which: np.ndarray, share: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows of ``values[which] * share``, some at a time; ``starts`` has one more entry than there are sums."""
     out = np.zeros((len(starts) - 1, values.shape[1]), values.dtype)
-    full = starts[1:] > starts[:-1]
-    if full.any():
-        out[full] = np.add.reduceat(values, starts[:-1][full], axis=0)
+    for a, b in slices(starts, SUMMED):
+        at = starts[a : b + 1]
+        full = at[1:] > at[:-1]
+        if full.any():
+            out[a:b][full] = np.add.reduceat(values[which[at[0] : at[-1]]] * share[at[0] : at[-1]], at[:-1][full] - at[0], axis=0)
     return out
 
 
@@ -183,10 +189,10 @@ def _joint(doc, column, share, label, fit, used, z, least, dim, bits, epochs, ra
     balance = (np.where(label == 1, 0.5 / (label[fit] == 1).sum(), 0.5 / (label[fit] == 0).sum()) * fit)[:, None]
     params = [vectors, out, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    start = _sums(vectors[column] * share, rows)
+    start = _sums(vectors, column, share, rows)
     scale = np.float32(3 / max(1e-9, np.abs(start @ line)[fit & (label == 1)].mean()))
     for step in range(1, epochs + 1):
-        mean = _sums(vectors[column] * share, rows) * scale
+        mean = _sums(vectors, column, share, rows) * scale
         s = mean @ out + bias
         s -= s.max(axis=1, keepdims=True)
         p = np.exp(s)
@@ -194,13 +200,13 @@ def _joint(doc, column, share, label, fit, used, z, least, dim, bits, epochs, ra
         p[np.arange(n), label] -= 1
         p = (p * balance).astype(np.float32)
         to_mean = (p @ out.T) * scale
-        grads = [_sums(to_mean[by_column] * column_share, column_rows) + np.float32(1e-6) * vectors, mean.T @ p + np.float32(1e-4) * out, p.sum(axis=0)]
+        grads = [_sums(to_mean, by_column, column_share, column_rows) + np.float32(1e-6) * vectors, mean.T @ p + np.float32(1e-4) * out, p.sum(axis=0)]
         for x, g, m, v in zip(params, grads, first, second):
             m += np.float32(0.1) * (g - m)
             v += np.float32(0.01) * (g * g - v)
             x -= np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weights[used] = (vectors @ (out[:, 1] - out[:, 0])) * scale
-    return weights, _sums(weights[used][column][:, None] * share, rows)[:, 0].astype(float)
+    return weights, _sums(weights[used][:, None], column, share, rows)[:, 0].astype(float)
 
 
 _SCHEMA = "doc_id long, text string, held_out boolean, score double"
@@ -209,7 +215,13 @@ _SCHEMA = "doc_id long, text string, held_out boolean, score double"
 def fit(docs: DataFrame, labels: DataFrame, *, modulus=5, held_out=0, target="toxic", per_class=PER_CLASS, **names) -> Model:
     """A model learned from a bounded sample of labelled rows outside the held-out fold."""
     rows = labelled.sample(docs, labels, target, modulus, held_out, per_class=per_class, **names)
-    return train(rows["text"].tolist(), rows["label"].to_numpy())
+    texts, label = rows["text"].tolist(), rows["label"].to_numpy()
+    del rows
+    tidy(docs.sparkSession)
+    model = train(texts, label)
+    del texts, label
+    tidy(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, modulus=5, held_out=0, doc_id="doc_id", text="text") -> DataFrame:

@@ -243,6 +243,19 @@ def test_a_task_leaves_no_freed_memory_in_its_worker(spark):
     assert [r["text"] for r in sources[0].collect()] == ["a b c"]
 
 
+def test_tidying_gives_back_the_drivers_freed_memory(spark):
+    def resident():
+        return next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith("VmRSS")) // 1024
+
+    before, pins = resident(), []
+    for _ in range(2):
+        held = [bytes([65 + k % 20]) * 5000 for k in range(40000)]
+        pins.append(held[-1])
+        del held
+    common.tidy(spark)
+    assert resident() < before + 60  # 200 MB without giving back
+
+
 def test_pieces_are_encoded_once_whatever_signs_follow(monkeypatch):
     encode, asked = packing.Encoder(packing.default_tokenizer()), []
     learn = encode._learn

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import tracemalloc
 import zlib
 
 import brute
@@ -39,6 +40,27 @@ def test_toxicity_on_held_out_documents():
     assert logits(model, [clean])[0] < 0 < logits(model, [clean + " you idi0t and pathetik losers"])[0]
 
 
+def test_toxicity_is_learned_in_little_memory():
+    rng = np.random.default_rng(3)
+    words = np.array([f"{a}{b}" for a in ("kor", "lam", "tes", "vin", "ruq") for b in range(400)])
+    texts = [" ".join(rng.choice(words, 400)) + " vile trash" * (k % 2) for k in range(600)]  # 1.5 MB
+    tracemalloc.start()
+    model = toxicity.train(texts, np.arange(600) % 2, epochs=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6  # 162 MB with slices of 1 MB of text; it is the driver that learns
+    assert (logits(model, texts) >= 0).tolist() == [k % 2 == 1 for k in range(600)]
+
+
+def test_summed_bags_are_the_plain_sums(monkeypatch):
+    monkeypatch.setattr(toxicity, "SUMMED", 7)
+    rng = np.random.default_rng(1)
+    starts = np.concatenate([[0], np.cumsum(rng.integers(0, 12, 40))])
+    values, which, share = rng.random((9, 3)), rng.integers(0, 9, starts[-1]), rng.random((starts[-1], 1))
+    plain = [(values[which[a:b]] * share[a:b]).sum(axis=0) for a, b in zip(starts[:-1], starts[1:])]
+    assert np.allclose(toxicity._sums(values, which, share, starts), plain)
+
+
 def test_quality_on_held_out_documents():
     fit, held = labelled("quality", 3, 1)
     fit = pd.concat([g.head(800) for _, g in fit.groupby("quality")]).sort_values("doc_id")
