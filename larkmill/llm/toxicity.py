@@ -35,10 +35,8 @@ LEAST_Z = (4.0, 6.0, 8.0, 10.0)
 PER_CLASS = 1500
 _EDGE = 1  # a byte that no word has
 
-#: Bytes of text that are looked at together.
-SLICE = 1 << 20
-#: The same in training, on the driver, where a slice's subwords take over 200 times its size.
-BAG_SLICE = 64 << 10
+#: Bytes of text that are looked at together; their subwords take over 200 times as much memory for a moment.
+SLICE = 64 << 10
 #: Entries of bags that are summed at once.
 SUMMED = 1 << 14
 
@@ -101,7 +99,7 @@ class Model:
 def _bags(texts: list[str], bits: int):
     """Entries (text, bucket, times) by text, then bucket: some texts at a time."""
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    for a, b in slices(offsets, BAG_SLICE):
+    for a, b in slices(offsets, SLICE):
         part = offsets[a : b + 1]
         out, at, before = _marked(data[part[0] : part[-1]], part - part[0])
         edges = at[before]

@@ -52,6 +52,17 @@ def test_toxicity_is_learned_in_little_memory():
     assert (logits(model, texts) >= 0).tolist() == [k % 2 == 1 for k in range(600)]
 
 
+def test_toxicity_is_scored_in_little_memory():
+    rng = np.random.default_rng(4)
+    data, offsets = text_buffer(pa.array([" ".join(f"w{k}" for k in rng.integers(0, 5000, 300)) for _ in range(1500)]))  # 2.5 MB
+    model = toxicity.Model(np.ones(1 << toxicity.BITS, np.float32), 0.0)
+    tracemalloc.start()
+    found = model.logits(data, offsets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1500 and most < 30e6
+
+
 def test_summed_bags_are_the_plain_sums(monkeypatch):
     monkeypatch.setattr(toxicity, "SUMMED", 7)
     rng = np.random.default_rng(1)
